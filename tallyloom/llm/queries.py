@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, topk, urlfilter
+from . import bpe, chunkdedup, langid, mixing, quality_cnn, sharding, topk, urlfilter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -26,6 +27,11 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(e, e.filter("vec_id % 100 = 0"), k=10)
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of chunks that stand elsewhere before."""
+    return chunkdedup.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,16 +39,30 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_cnn.learn(docs, _read(spark, sf_dir, "labels"), langid.fold(5) != 0)
+    held = F.coalesce(langid.fold(5) == 0, F.lit(False))
+    return quality_cnn.classify(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), RULES, keep=["page_id"])
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs, langid.fold(3) != 1)
+    held = F.coalesce(langid.fold(3) == 1, F.lit(False))
+    return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_exact_topk, op4_byte_bpe, op7_url_filter, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_exact_topk, op3_chunk_dedup, op4_byte_bpe, op5_quality_cnn, op7_url_filter, op8_language_id, op10_hash_tree_sharding)}
 
 
 OP1 = """
