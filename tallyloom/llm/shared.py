@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def free(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs don't repeat it, and a lost executor loses none of it."""
     path = f"{shared_dir(df.sparkSession)}/tallyloom-{uuid.uuid4().hex}-{name}"

@@ -33,10 +33,11 @@ def stream(n: int, seed: int) -> np.ndarray:
 BYTE_CODE = stream(256, 11) | np.uint64(1)
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased) of all texts, and where each text's words start (one more at the end)."""
+def words(texts: list[bytes], space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased) of all texts, and where each text's words start (one more at the end).
+    ``space``: for each byte, whether it stands between words."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    inside = ~SPACE[raw]
+    inside = ~space[raw]
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     starts, ends = edge[0::2], edge[1::2]
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
