@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import free
+
 #: The largest rank file that is broadcast, in bytes.
 MAX_RANK_BYTES = 64 << 20
 #: Texts longer than this many characters are cut at safe boundaries.
@@ -68,7 +70,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, emit: tuple[str, ...]
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in emit]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(k, KINDS[k]) for k in emit])
-    src = docs.select(*[docs[f"`{c}`"] for c in kept], docs["text"].alias("__text"))
+    src = docs.select(*[docs[f"`{c}`"] for c in kept], docs["text"].alias(free(kept, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
@@ -110,7 +112,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", out: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
         for batch in batches:
-            raw = [None if x is None else enc.decode_bytes(x) for x in batch.column(batch.schema.get_field_index("__ids")).to_pylist()]
+            raw = [None if x is None else enc.decode_bytes(x) for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(raw, pa.binary())], names=[*kept, out])
 
-    return df.select(*[df[f"`{c}`"] for c in kept], df[f"`{ids}`"].alias("__ids")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{c}`"] for c in kept], df[f"`{ids}`"].alias(free(kept, "__ids"))).mapInArrow(run, schema)

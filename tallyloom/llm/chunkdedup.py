@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free
 from .textnum import groups, stream
 
 WINDOW, RADIUS, MAX_CHUNK, MIN_RUN = 16, 16, 1024, 96
@@ -185,9 +186,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The input's columns, text without what repeats, and n_chunks, n_removed (chunks), removed_bytes."""
     added = ("n_chunks", "n_removed", "removed_bytes")
     kept = [c for c in docs.columns if c.lower() not in added]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("__row"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__doc"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("__row"))
     found = marks(keyed).groupBy("__id", "__row").agg(F.collect_list("places").alias("__places"))
-    rows = keyed.join(found, ["__id", "__row"], "left").select(*[F.col(f"`{c}`") for c in kept], "__places")
+    rows = keyed.drop("text").join(found, ["__id", "__row"], "left").select(*[F.col("__doc")[c].alias(c) for c in kept], F.col("__places").alias(free(kept, "__places")))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in added])
     at = kept.index("text")
 

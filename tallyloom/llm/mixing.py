@@ -27,7 +27,7 @@ def _unit(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """One row for each source: __source, rate, and the Poisson distribution with that mean up to a tail below 2**-53.
+    """One row for each source: __source, __rate, and the Poisson distribution with that mean up to a tail below 2**-53.
     ``weights``: target shares by source, in any unit; None: the same for each. ``epochs``: output size by input size."""
     size = F.length(F.coalesce(F.col("text"), F.lit(""))) + 1
     sizes = docs.groupBy(F.col("source").alias("__source")).agg(F.sum(size).cast("double").alias("__size"))
@@ -38,35 +38,36 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         sizes = sizes.join(F.broadcast(pairs), F.col("__source").eqNullSafe(F.col("__k")), "left").fillna(0.0, ["__w"]).drop("__k")
     whole = sizes.agg(F.sum("__size").alias("__total"), F.sum("__w").alias("__weights"))
     rate = F.when(F.col("__weights") > 0, F.lit(float(epochs)) * F.col("__total") * F.col("__w") / (F.col("__weights") * F.col("__size"))).otherwise(F.lit(0.0))
-    out = sizes.join(F.broadcast(whole)).select("__source", rate.alias("rate"))
-    first = F.exp(-F.col("rate"))
+    out = sizes.join(F.broadcast(whole)).select("__source", rate.alias("__rate"))
+    first = F.exp(-F.col("__rate"))
     step = lambda s, k: F.struct(
-        (s["lp"] + F.log(F.col("rate")) - F.log(k)).alias("lp"),
-        (s["c"] + F.exp(s["lp"] + F.log(F.col("rate")) - F.log(k))).alias("c"),
-        F.concat(s["cdf"], F.array(s["c"] + F.exp(s["lp"] + F.log(F.col("rate")) - F.log(k)))).alias("cdf"),
+        (s["lp"] + F.log(F.col("__rate")) - F.log(k)).alias("lp"),
+        (s["c"] + F.exp(s["lp"] + F.log(F.col("__rate")) - F.log(k))).alias("c"),
+        F.concat(s["cdf"], F.array(s["c"] + F.exp(s["lp"] + F.log(F.col("__rate")) - F.log(k)))).alias("cdf"),
     )
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
-    start = F.struct((-F.col("rate")).alias("lp"), first.alias("c"), F.array(first).alias("cdf"))
+    last = F.ceil(F.col("__rate") + 12 * F.sqrt("__rate") + 40).cast("int")
+    start = F.struct((-F.col("__rate")).alias("lp"), first.alias("c"), F.array(first).alias("cdf"))
     cdf = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])
-    return out.withColumn("__cdf", F.when(F.col("rate") > 0, cdf))
+    return out.withColumn("__cdf", F.when(F.col("__rate") > 0, cdf))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7) -> DataFrame:
     """The copies of all documents in shuffled order: the input's columns, n_copies, copy (from 1) and shuffle_key."""
     table = rates(docs, weights, epochs)
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("source").alias("__from"), key.alias("__key"))
     if docs.select("source").distinct().limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
-        joined = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source")))
+        joined = rows.join(F.broadcast(table), F.col("__from").eqNullSafe(F.col("__source")))
     else:
-        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, F.col("source").eqNullSafe(F.col("__source")) & (dealt["__salt"] == salted["__salt"]))
-    u = _unit(F.lit(str(seed)), key)
-    copies = F.when(F.col("rate") > 0, F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).otherwise(F.lit(0))
-    rows = joined.withColumn("__u", u).withColumn("n_copies", copies.cast("int")).filter("n_copies > 0")
+        salted = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, F.col("__from").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__copy")))
+    u = _unit(F.lit(str(seed)), F.col("__key"))
+    copies = F.when(F.col("__rate") > 0, F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).otherwise(F.lit(0))
+    rows = joined.withColumn("__u", u).select("__doc", "__key", copies.cast("int").alias("n_copies")).filter("n_copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string")).cast("binary")))
+    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), "__key", F.col("copy").cast("string")).cast("binary")))
     added = ["n_copies", "copy", "shuffle_key"]
     keep = [c for c in docs.columns if c.lower() not in added]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], *added).repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return rows.select(*[F.col("__doc")[c].alias(c) for c in keep], *added).repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")

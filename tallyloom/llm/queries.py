@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkdedup, langid, mixing, quality_cnn, sharding, topk, urlfilter
+from . import bpe, chunkdedup, langid, mixing, quality_cnn, setjoin, sharding, spotsigs, topk, urlfilter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -46,6 +46,10 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), RULES, keep=["page_id"])
 
@@ -57,12 +61,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_next(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_exact_topk, op3_chunk_dedup, op4_byte_bpe, op5_quality_cnn, op7_url_filter, op8_language_id, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_exact_topk, op3_chunk_dedup, op4_byte_bpe, op5_quality_cnn, op6_ngram_jaccard_join, op7_url_filter, op8_language_id, op9_spotsigs, op10_hash_tree_sharding)}
 
 
 OP1 = """
