@@ -30,6 +30,8 @@ from .textnum import groups, stream
 WINDOW, RADIUS, MAX_CHUNK, MIN_RUN = 16, 16, 1024, 96
 #: Bytes of a text that are hashed at a time, and bytes before and after that their boundaries depend on.
 SEGMENT, MARGIN = 1 << 20, 64
+#: Bytes of texts whose equal chunks are resolved at once.
+TOGETHER = 8 << 20
 GEAR = stream(256, 21)
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -117,7 +119,7 @@ def marks(docs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part, texts in groups(whole, 2):
+            for part, texts in groups(whole, 2, TOGETHER):
                 ids, rows = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 order = np.lexsort((rows, ids))
                 keep = order[np.append(True, (ids[order][1:] != ids[order][:-1]) | (rows[order][1:] != rows[order][:-1]))]  # repeated rows once

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at a time; a longer text is handled alone.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 2 << 20
 #: White space of the word rule: 0x20 and 0x09 to 0x0D. All of it is ASCII, so bytes of longer characters never match.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -85,7 +85,7 @@ def groups(batch: pa.RecordBatch, text: int, most: int = BYTES_AT_ONCE) -> Itera
     """Slices of a batch with at most so many bytes of text (or one row), and their texts; null is empty."""
     texts = batch.column(text)
     size = texts.nbytes // max(1, batch.num_rows) + 1
-    rows = max(1, min(batch.num_rows, 4 * most // size))
+    rows = max(1, min(batch.num_rows, 2 * most // size))
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         raw = [(x or "").encode() for x in part.column(text).to_pylist()]
