@@ -26,6 +26,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,11 @@ WIDTH = 5
 #: The largest boundary that is weighed; cost of a verified set, in list entries.
 MOST_LIGHT, VERIFY = 12, 24
 #: Shingles are counted over so many at a time; those found this often at once may go last in the order, at most so many.
-COUNTED, OFTEN, LAST = 4_000_000, 3, 200_000
+COUNTED, OFTEN, LAST = 3_000_000, 3, 200_000
 #: Lists with more sets are compared with one of them first.
 LONG = 32
+#: Members that then stand for their list in each further round, rounds, pairs below which rounds end, and members in a block.
+HUBS, ROUNDS, FEW, BLOCK = 4, 4, 1_000, 2_048
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i4"), ("flag", "u1")])
 INDEX, SCAN, SUBSET = 1, 2, 4
 NONE = np.empty(0, np.uint64)
@@ -287,13 +290,62 @@ def _join(docs: DataFrame, light: int, order: Order) -> DataFrame:
     return sent.repartitionById(n_parts, F.col("bucket")).mapInArrow(meet, "kind int, a1 long, a2 long, b1 long, b2 long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b: doc_id) whose whole sets link."""
+def parity(s: np.ndarray) -> bytes:
+    """A bit map of about as many bits as the set has shingles: each shingle turns one over. Two sets differ in at least
+    as many shingles as their maps differ in bits."""
+    bits = 1 << max(6, int(len(s)).bit_length())
+    count = np.bincount((mixed(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(count & 1).tobytes()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part, texts in groups(whole, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, WIDTH)], pa.binary())], names=["id", "s"])
+
+def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """False only if the maps show that the sets differ in more than (n + m) / 9 shingles."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):  # the longer map, folded, is that of its set with fewer bits: places are taken mod a power of 2
+        if len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return 9 * int(np.bitwise_count(a ^ b).sum()) <= n + m
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
+    """id, n and the set (``whole``) or its bit map of the documents in ``ids`` (doc_id), and of a few others: ids are told
+    by a bit of 2**24, which are broadcast (2 MB), so that no text is shuffled."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
+    told = ids.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m")).collect()
+    bits = np.zeros((512, 4096), np.uint8)
+    for r in told:
+        bits[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).to_numpy(zero_copy_only=False)
+            chosen = batch.filter(pa.array(shared.value.reshape(-1)[p >> 3] >> (p & 7) & 1 == 1))
+            if chosen.num_rows:
+                for part, texts in groups(chosen, 1):
+                    sets = shingle_sets(texts, WIDTH)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() if whole else parity(x) for x in sets], pa.binary())], names=["id", "n", "s"])
+
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.select("doc_id", "text", place.alias("p")).mapInArrow(run, "id long, n long, s binary")
+
+
+def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bit maps don't exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(*x) for x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k: maps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b: doc_id) whose whole sets link, as u, v."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,11 +356,67 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    s = written(rows.mapInArrow(sets, "id long, s binary"), "sets")
+    s = written(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), True), "sets")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").toDF("u", "v").distinct()
+
+
+def _placed(found: DataFrame, node: str, component: str) -> DataFrame:
+    return found.select(F.col("node").alias(node), F.col("component").alias(component))
+
+
+def _fits(i: int, others: np.ndarray, n: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """Which of the others' sizes and maps don't exclude a link with member i."""
+    ok = np.zeros(len(others), bool)
+    sized = (5 * n[others] >= 4 * n[i]) & (5 * n[i] >= 4 * n[others])
+    widths = np.array([len(maps[j]) for j in others])
+    for w in np.unique(widths[sized]).tolist():
+        at = np.flatnonzero(sized & (widths == w))
+        mine, theirs = maps[i], np.stack([maps[j] for j in others[at]])
+        while len(mine) > theirs.shape[1]:
+            mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+        while theirs.shape[1] > len(mine):
+            half = theirs.shape[1] // 2
+            theirs = theirs[:, :half] ^ theirs[:, half:]
+        ok[at] = 9 * np.bitwise_count(mine ^ theirs).sum(1, dtype=np.int64) <= n[i] + n[others[at]]
+    return ok
+
+
+def _apart(placed: DataFrame, maps: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (a, b) of members of one list in different components that their maps don't exclude: all of them, or those
+    with HUBS members of the list's largest component, others each ``turn``. Long lists are handled in pairs of blocks."""
+    lists = placed.groupBy("list").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("list", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    inside = placed.join(lists, "list")
+    all_of = inside.groupBy("id").agg(F.sort_array(F.collect_list("list")).alias("ls"))
+    rows = inside.join(all_of, "id").join(maps.select("id", "s").dropDuplicates(["id"]), "id")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "c", "s", "ls")
+
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
+        ids, n, c, block = (t[k].to_numpy() for k in ("id", "n", "c", "own"))
+        bits = [np.frombuffer(x, np.uint8) for x in t["s"]]
+        known, at = np.unique(np.concatenate(list(t["ls"])), return_inverse=True)
+        member = np.zeros((len(t), len(known)), bool)
+        member[np.repeat(np.arange(len(t)), t["ls"].map(len)), at] = True
+        here = int(np.searchsorted(known, key[0]))
+        kinds, counts = np.unique(c, return_counts=True)
+        main = c == kinds[counts.argmax()]
+        both = key[1] == key[2]
+        order = np.argsort(mixed(ids.astype(np.uint64)), kind="stable")
+        picked = np.flatnonzero(~main) if turn is None else order[main[order]][turn * HUBS : (turn + 1) * HUBS]
+        out = []
+        for i in picked.tolist():
+            others = np.flatnonzero((c != c[i]) & ((block != block[i]) | both))
+            if turn is None:
+                others = others[main[others] | (others > i)]
+            others = others[(member[others] & member[i]).argmax(1) == here]  # a pair is taken in the first list that it shares
+            others = others[_fits(i, others, n, bits)]
+            out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[others]), "b": np.maximum(ids[i], ids[others])}))
+        return pd.concat([none, *out]).drop_duplicates()
+
+    return rows.groupBy("list", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -328,19 +436,32 @@ def join(docs: DataFrame) -> DataFrame:
     own = rows.filter("n > 0").join(classes, ["c1", "c2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     repeated = own.join(classes.select(F.col("rep").alias("u")).distinct(), "u", "left_semi")  # ids with several texts
     sure = pairs.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(repeated)
-    links = written(sure.unionByName(_verified(docs, pairs.filter("kind = 0")).toDF("u", "v")).distinct(), "links")
+    lists = written(met.filter("kind = 2").select(F.col("a1").alias("list"), "b1", "b2").join(of("b"), ["b1", "b2"]).select("list", F.col("b").alias("id"), F.col("n_b").alias("n")), "lists")
+    open_ = pairs.filter("kind = 0").select("a", "b")
+    maps = written(_sets_of(docs, open_.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(lists.select(F.col("id").alias("doc_id"))), False), "maps")
+    likely = written(_likely(open_, maps), "likely")
+    # one candidate of each document first; of the rest, only those that are still apart
+    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(sure.unionByName(_verified(docs, first)), "links")
     found = components(links)
-    lists = met.filter("kind = 2").select(F.col("a1").alias("list"), "b1", "b2").join(of("b"), ["b1", "b2"]).select("list", F.col("b").alias("id"), F.col("n_b").alias("n"))
-    if lists.limit(1).count():
-        placed = written(lists.join(found, lists["id"] == found["node"], "left").select("list", "id", "n", F.coalesce("component", "id").alias("c")), "lists")
-        split = placed.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("list")
-        x, y = (placed.join(split, "list", "left_semi").toDF("list", f"{s}", f"n{s}", f"c{s}") for s in ("a", "b"))
-        rest = x.join(y, "list").filter("a < b AND ca <> cb AND 5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b").distinct()
-        rest = written(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            more = written(_verified(docs, rest).toDF("u", "v"), "links")
-            if more.limit(1).count():
-                found = components(links.unionByName(more))
+    apart = lambda df: df.join(_placed(found, "a", "ca"), "a", "left").join(_placed(found, "b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    rest = written(apart(likely).join(first, ["a", "b"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        links = links.unionByName(written(_verified(docs, rest), "links"))
+        found = components(links)
+    tried = first.unionByName(rest)
+    turns: list[int | None] = [*range(ROUNDS), None] if lists.limit(1).count() else []
+    while turns:
+        turn = turns.pop(0)
+        placed = lists.join(_placed(found, "id", "c"), "id", "left").select("list", "id", "n", F.coalesce("c", "id").alias("c"))
+        more = written(_apart(placed, maps, turn).join(tried, ["a", "b"], "left_anti"), "more")
+        count = more.count()
+        if count:
+            tried = tried.unionByName(more)
+            links = links.unionByName(written(_verified(docs, more), "links"))
+            found = components(links)
+        if turns and count < FEW:
+            turns = [None]  # the last pass takes all pairs that are left
     group = classes.join(found, classes["rep"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = rows.join(group, ["c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
