@@ -113,6 +113,7 @@ class Model:
             flat[s : s + len(t)] = np.frombuffer(t, np.uint8)
             levels[s : s + len(t)] = echo(flat[s : s + len(t)])
         tables, tops = self.tables(), np.empty((starts[-1], FILTERS), np.float32)
+        last = np.sort((starts[1:, None] * BLOCK - np.arange(1, WIDTH)).ravel())  # padding from where filters see the next text
         step = 256  # blocks at a time, for the cache
         got, add = np.empty((step * BLOCK, FILTERS), np.float32), np.empty((step * BLOCK, FILTERS), np.float32)
         for at in range(0, starts[-1], step):
@@ -124,6 +125,7 @@ class Model:
                 got[:n] += add[:n]
             np.take(self.p["e"], levels[at * BLOCK : at * BLOCK + n], axis=0, out=add[:n], mode="clip")
             got[:n] += add[:n]
+            got[last[np.searchsorted(last, at * BLOCK) : np.searchsorted(last, at * BLOCK + n)] - at * BLOCK] = -np.inf
             tops[at : at + step] = got[:n].reshape(-1, BLOCK, FILTERS).max(1)
         tops = np.maximum(tops + self.p["b"], 0)
         half = np.maximum.reduceat(tops, np.arange(0, len(tops), STRIDE))  # a document's blocks are a multiple of STRIDE
