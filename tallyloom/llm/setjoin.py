@@ -38,13 +38,13 @@ WIDTH = 5
 #: The largest boundary that is weighed; cost of a verified set, in list entries.
 MOST_LIGHT, VERIFY = 12, 24
 #: Shingles are counted over so many at a time; those found this often at once may go last in the order, at most so many.
-COUNTED, OFTEN, LAST = 3_000_000, 3, 200_000
+COUNTED, OFTEN, LAST = 2_000_000, 3, 200_000
 #: Lists with more sets are compared with one of them first.
 LONG = 32
 #: Members that then stand for their list in each further round, rounds, pairs below which rounds end, and members in a block.
 HUBS, ROUNDS, FEW, BLOCK = 4, 4, 1_000, 2_048
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i4"), ("flag", "u1")])
-INDEX, SCAN, SUBSET = 1, 2, 4
+INDEX, SCAN, SUBSET, LEVEL = 1, 2, 4, 8
 NONE = np.empty(0, np.uint64)
 
 
@@ -90,15 +90,16 @@ def _picks(n: int, k: int) -> np.ndarray:
 _POWERS = stream(64, 41) | np.uint64(1)
 
 
-def subset_keys(s: np.ndarray, light: int) -> np.ndarray:
-    """A key for each subset of a light set, for each size of partner."""
-    out = []
+def subset_keys(s: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each subset of a light set, for each size of partner, and its flag: LEVEL if the sizes are equal."""
+    out, flags = [NONE], [np.empty(0, np.uint8)]
     for m in partners(len(s)):
         if m <= light:
             k = overlap(len(s), m)
             tag = np.uint64(min(len(s), m) * 64 + max(len(s), m))
             out.append(mixed((s[_picks(len(s), k)] * _POWERS[:k]).sum(1) + mixed(np.array([tag]))))
-    return np.concatenate(out) if out else NONE
+            flags.append(np.full(len(out[-1]), SUBSET | (LEVEL if m == len(s) else 0), np.uint8))
+    return np.concatenate(out), np.concatenate(flags)
 
 
 class Order:
@@ -203,6 +204,8 @@ def _meet(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     for g in np.flatnonzero((size > 1) & subset).tolist():
         rows = np.arange(start[g], start[g] + size[g])
         lo, hi = size_of[rows].min(), size_of[rows].max()
+        if lo == hi and not flag[start[g]] & LEVEL:
+            continue  # sets of one size that meet in a subset meant for another size
         low, high = cls[rows[size_of[rows] == lo]], cls[rows[size_of[rows] == hi]]
         links.append(np.stack([np.full(len(high), low[0]), high], 1))
         if lo != hi:
@@ -231,8 +234,7 @@ def _join(docs: DataFrame, light: int, order: Order) -> DataFrame:
                     table.append((*c, n))
                     k, f = NONE, np.empty(0, np.uint8)
                     if n <= light:
-                        k = subset_keys(s, light)
-                        f = np.full(len(k), SUBSET, np.uint8)
+                        k, f = subset_keys(s, light)
                     if 5 * n >= 4 * (light + 1):
                         p, i = (scanned(n) if n > light else 0), indexed(n)
                         got = first(s, max(p, i))
