@@ -31,7 +31,7 @@ WINDOW, RADIUS, MAX_CHUNK, MIN_RUN = 16, 16, 1024, 96
 #: Bytes of a text that are hashed at a time, and bytes before and after that their boundaries depend on.
 SEGMENT, MARGIN = 1 << 20, 64
 #: Bytes of texts whose equal chunks are resolved at once.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 GEAR = stream(256, 21)
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
