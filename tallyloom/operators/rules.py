@@ -162,21 +162,25 @@ def direction_of(signed: Column) -> Column:
     return F.when(signed > 0, CREDIT).when(signed < 0, DEBIT).otherwise(EITHER)
 
 
-def word_present(rule_word: Column, words: Column) -> Column:
-    """Exact; from five letters on by ratio; from six on also as a prefix of a word."""
-    n = F.length(rule_word)
+def word_hits(words: Column, vocabulary: list[str]) -> Column:
+    """The rule words that a narration's words match: exactly; from five letters on by ratio; from six on also as a prefix.
+    Only words that are long enough are compared fuzzily."""
+    long = texts(*[w for w in vocabulary if len(w) >= FUZZY_LENGTH])
 
-    def alike(w: Column) -> Column:
-        edits = F.floor(F.lit((100 - FUZZY) / 100) * (n + F.length(w)) + F.lit(1e-9)).cast("int")
-        return (F.abs(n - F.length(w)) <= edits) & (F.levenshtein(rule_word, w) <= edits) & (ratio(rule_word, w) >= FUZZY)
+    def alike(rule_word: Column, w: Column) -> Column:
+        n, m = F.length(rule_word), F.length(w)
+        edits = F.floor(F.lit((100 - FUZZY) / 100) * (n + m) + F.lit(1e-9)).cast("int")
+        return ((n >= PREFIX_LENGTH) & w.startswith(rule_word)) | ((F.abs(n - m) <= edits) & (F.levenshtein(rule_word, w) <= edits) & (ratio(rule_word, w) >= FUZZY))
 
-    near = (n >= FUZZY_LENGTH) & F.exists(words, lambda w: ((n >= PREFIX_LENGTH) & w.startswith(rule_word)) | alike(w))
-    return F.array_contains(words, rule_word) | near
+    exact = F.array_intersect(texts(*vocabulary), words)
+    # the shortest word that is alike to one of five letters has four
+    near = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= FUZZY_LENGTH - 1), lambda w: F.filter(long, lambda r: alike(r, w))))
+    return F.concat(exact, near)
 
 
 def first_match(n: Column, direction: Column, holder: Column, pack: list[Rule]) -> Column:
     """id, category, ledger and review of the first rule that matches a narration; null if none does."""
-    vocabulary = texts(*sorted({w for r in pack for w in r.words}))
+    vocabulary = sorted({w for r in pack for w in r.words})
     rules = F.array(*[record(id=F.lit(r.id), category=F.lit(r.category), words=texts(*r.words), direction=F.lit(r.direction), ledger=F.lit(r.ledger).cast("string"), review=F.lit(r.review), predicate=F.lit(r.predicate or "")) for r in pack])
     used = sorted({r.predicate for r in pack if r.predicate})
 
@@ -185,11 +189,11 @@ def first_match(n: Column, direction: Column, holder: Column, pack: list[Rule])
             shape = F.lit(True)
             for p in used:
                 shape = F.when(r["predicate"] == p, PREDICATES[p](n["words"], n["numbers"], holder)).otherwise(shape)
-            return ((r["direction"] == EITHER) | (r["direction"] == direction)) & (F.size(F.array_except(r["words"], hits)) == 0) & shape
+            return ((r["direction"] == EITHER) | (r["direction"] == direction)) & F.forall(r["words"], lambda w: F.array_contains(hits, w)) & shape
 
         return let(first_or_null(F.filter(rules, matches)), lambda r: F.when(r.isNotNull(), record(id=r["id"], category=r["category"], ledger=r["ledger"], review=r["review"])))
 
-    return let(F.filter(vocabulary, lambda w: word_present(w, n["words"])), pick)
+    return let(word_hits(n["words"], vocabulary), pick)
 
 
 def classify(rows: DataFrame, pack: list[Rule] | None = None, taxonomy: list[tuple] = TAXONOMY, holder: str = "holder") -> DataFrame:
