@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -35,6 +35,8 @@ from .shared import components, written
 from .textnum import groups, mixed, shingle_sets, stream
 
 WIDTH = 5
+#: From texts to their sets: distinct, ascending, uint64.
+Sets = Callable[[list[bytes]], list[np.ndarray]]
 #: The largest boundary that is weighed; cost of a verified set, in list entries.
 MOST_LIGHT, VERIFY = 12, 24
 #: Shingles are counted over so many at a time; those found this often at once may go last in the order, at most so many.
@@ -48,6 +50,10 @@ INDEX, SCAN, SUBSET, LEVEL = 1, 2, 4, 8
 NONE = np.empty(0, np.uint64)
 
 
+def word_shingles(texts: list[bytes]) -> list[np.ndarray]:
+    return shingle_sets(texts, WIDTH)
+
+
 def overlap(n: int, m: int) -> int:
     """The least number of common shingles of sets that link."""
     return -(-4 * (n + m) // 9)
@@ -127,7 +133,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
+def _sizes(docs: DataFrame, make: Sets) -> DataFrame:
     """A row for each document (kind 0: doc_id, n, class) and for each shingle that is often met at once (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +153,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
         names = ["kind", "doc_id", "n", "c1", "c2"]
         for whole in batches:
             for part, texts in groups(whole, 1):
-                sets = shingle_sets(texts, WIDTH)
+                sets = make(texts)
                 cls = [_digest(s) for s in sets]
                 for s, c in zip(sets, cls):
                     if c not in seen:
@@ -215,7 +221,7 @@ def _meet(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return found[found[:, 0] != found[:, 1]], links[links[:, 0] != links[:, 1]], np.concatenate([np.empty((0, 2), np.int64), *long])
 
 
-def _join(docs: DataFrame, light: int, order: Order) -> DataFrame:
+def _join(docs: DataFrame, light: int, order: Order, make: Sets) -> DataFrame:
     """kind 0: candidate pairs of classes, kind 1: linked pairs, kind 2: (list, class) of long lists."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.sparkSession.sparkContext.broadcast(order)
@@ -226,7 +232,7 @@ def _join(docs: DataFrame, light: int, order: Order) -> DataFrame:
             for _, texts in groups(whole, 0):
                 known: dict[tuple[int, int], int] = {}
                 table, keys, flags = [], [], []
-                for s in shingle_sets(texts, WIDTH):
+                for s in make(texts):
                     n = len(s)
                     if not n or (c := _digest(s)) in known:
                         continue
@@ -311,7 +317,7 @@ def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
     return 9 * int(np.bitwise_count(a ^ b).sum()) <= n + m
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool, make: Sets) -> DataFrame:
     """id, n and the set (``whole``) or its bit map of the documents in ``ids`` (doc_id), and of a few others: ids are told
     by a bit of 2**24, which are broadcast (2 MB), so that no text is shuffled."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
@@ -327,7 +333,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
             chosen = batch.filter(pa.array(shared.value.reshape(-1)[p >> 3] >> (p & 7) & 1 == 1))
             if chosen.num_rows:
                 for part, texts in groups(chosen, 1):
-                    sets = shingle_sets(texts, WIDTH)
+                    sets = make(texts)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() if whole else parity(x) for x in sets], pa.binary())], names=["id", "n", "s"])
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -346,7 +352,7 @@ def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, make: Sets) -> DataFrame:
     """The pairs (a, b: doc_id) whose whole sets link, as u, v."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +364,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    s = written(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), True), "sets")
+    s = written(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), True, make), "sets")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").toDF("u", "v").distinct()
 
@@ -421,17 +427,18 @@ def _apart(placed: DataFrame, maps: DataFrame, turn: int | None) -> DataFrame:
     return rows.groupBy("list", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
+def join(docs: DataFrame, make: Sets = word_shingles) -> DataFrame:
+    """doc_id, n_shingles (the size of its set) and component_id (the smallest doc_id that links reach) of each document.
+    ``make``: what the sets are of."""
     spark = docs.sparkSession
-    seen = written(_sizes(docs), "sizes")
+    seen = written(_sizes(docs, make), "sizes")
     rows = seen.filter("kind = 0").select("doc_id", "n", "c1", "c2")
     often = seen.filter("kind = 1").groupBy("c1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c1").limit(LAST).toPandas()
     order = Order(often["c1"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64))
     classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
     counts = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = boundary(counts)
-    met = written(_join(docs, light, order), "met")
+    met = written(_join(docs, light, order, make), "met")
     of = lambda side: classes.select(F.col("c1").alias(f"{side}1"), F.col("c2").alias(f"{side}2"), F.col("rep").alias(side), F.col("n").alias(f"n_{side}"))
     named = met.filter("kind < 2").join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"])
     pairs = written(named.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind")), "pairs")
@@ -440,16 +447,16 @@ def join(docs: DataFrame) -> DataFrame:
     sure = pairs.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(repeated)
     lists = written(met.filter("kind = 2").select(F.col("a1").alias("list"), "b1", "b2").join(of("b"), ["b1", "b2"]).select("list", F.col("b").alias("id"), F.col("n_b").alias("n")), "lists")
     open_ = pairs.filter("kind = 0").select("a", "b")
-    maps = written(_sets_of(docs, open_.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(lists.select(F.col("id").alias("doc_id"))), False), "maps")
+    maps = written(_sets_of(docs, open_.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(lists.select(F.col("id").alias("doc_id"))), False, make), "maps")
     likely = written(_likely(open_, maps), "likely")
     # one candidate of each document first; of the rest, only those that are still apart
     first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(sure.unionByName(_verified(docs, first)), "links")
+    links = written(sure.unionByName(_verified(docs, first, make)), "links")
     found = components(links)
     apart = lambda df: df.join(_placed(found, "a", "ca"), "a", "left").join(_placed(found, "b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     rest = written(apart(likely).join(first, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = links.unionByName(written(_verified(docs, rest), "links"))
+        links = links.unionByName(written(_verified(docs, rest, make), "links"))
         found = components(links)
     tried = first.unionByName(rest)
     turns: list[int | None] = [*range(ROUNDS), None] if lists.limit(1).count() else []
@@ -460,7 +467,7 @@ def join(docs: DataFrame) -> DataFrame:
         count = more.count()
         if count:
             tried = tried.unionByName(more)
-            links = links.unionByName(written(_verified(docs, more), "links"))
+            links = links.unionByName(written(_verified(docs, more, make), "links"))
             found = components(links)
         if turns and count < FEW:
             turns = [None]  # the last pass takes all pairs that are left

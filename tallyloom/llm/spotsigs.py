@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .setjoin import join
 from .textnum import mixed, stream, words
 
 #: Common words of English, German, French and Spanish.
@@ -84,6 +85,14 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_signatures and component_id of each document: fingerprints link from a likeness of 0.8 on. Sets meet only
+    those of fitting length in the lists of their rarest signatures, and are compared once maps of their signatures and
+    their lengths don't exclude a link."""
+    found = join(docs, lambda texts: [f.astype(np.uint64) for f in fingerprints(texts)])
+    return found.withColumnRenamed("n_shingles", "n_signatures")
+
+
 def as_text(sigs: np.ndarray) -> str:
     return sigs.astype(">u4").tobytes().hex()
 

@@ -260,6 +260,15 @@ def test_next_documents(make, spark, parts):
         assert r.near_edited == G.likeness(f, g) and r.near_next == G.likeness(f, h)
 
 
+def test_near_duplicate_fingerprints(make):
+    long = " ".join(f"the thing{i} of note{i} and more" for i in range(40))
+    texts = [long, long.replace("thing7 ", "other "), long, "the cat sat there and ran off", None, "", long.replace("thing", "x")]
+    got = {r.doc_id: (r.n_signatures, r.component_id) for r in G.near_duplicates(make(texts)).collect()}
+    prints = [G.fingerprints([(t or "").encode()])[0] for t in texts]
+    assert [got[i][0] for i in range(7)] == [len(f) for f in prints] and [got[i][1] for i in range(7)] == [0, 0, 0, 3, 4, 4, 6]
+    assert G.likeness(prints[0], prints[1]) >= 0.8 > G.likeness(prints[0], prints[6])
+
+
 def test_fingerprints_of_odd_rows(make):
     out = G.with_next(make(["a b", None, "c", "c"], [2, None, 2, 2])).collect()
     assert collections.Counter(r.doc_id for r in out) == {2: 3, None: 1}
