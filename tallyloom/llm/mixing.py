@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Rates are broadcast up to so many sources; beyond, rows are joined with salted copies of them.
 MAX_SOURCES = 10_000
 SALTS = 16
@@ -36,9 +38,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     else:
         pairs = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__k string, __w double")
         sizes = sizes.join(F.broadcast(pairs), F.col("__source").eqNullSafe(F.col("__k")), "left").fillna(0.0, ["__w"]).drop("__k")
-    whole = sizes.agg(F.sum("__size").alias("__total"), F.sum("__w").alias("__weights"))
-    rate = F.when(F.col("__weights") > 0, F.lit(float(epochs)) * F.col("__total") * F.col("__w") / (F.col("__weights") * F.col("__size"))).otherwise(F.lit(0.0))
-    out = sizes.join(F.broadcast(whole)).select("__source", rate.alias("__rate"))
+    sizes = written(sizes, "sizes")
+    whole = sizes.agg(F.sum("__size").alias("total"), F.sum("__w").alias("weights")).first()
+    if whole["weights"]:
+        rate = F.lit(float(epochs)) * F.lit(whole["total"]) * F.col("__w") / (F.lit(whole["weights"]) * F.col("__size"))
+    else:
+        rate = F.lit(0.0)
+    out = sizes.select("__source", rate.alias("__rate"))
     first = F.exp(-F.col("__rate"))
     step = lambda s, k: F.struct(
         (s["lp"] + F.log(F.col("__rate")) - F.log(k)).alias("lp"),
@@ -56,7 +62,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     table = rates(docs, weights, epochs)
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("source").alias("__from"), key.alias("__key"))
-    if docs.select("source").distinct().limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
+    if table.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
         joined = rows.join(F.broadcast(table), F.col("__from").eqNullSafe(F.col("__source")))
     else:
         salted = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
