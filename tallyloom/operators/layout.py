@@ -1,7 +1,7 @@
 """Positioned words to lines: clustering, bands, cells, columns.
 
-Words have doc_id, page_no, text, left, top, width, height, confidence. Joins with bands are equi-joins on the page with a
-range condition. Clustering follows a running mean and is a fold over the page's words, as a JVM ``aggregate``."""
+Words have doc_id, page_no, text, left, top, width, height, confidence. Bands are joined by page, as arrays. Clustering
+follows a running mean and is a fold over the page's words, as a JVM ``aggregate``."""
 
 from __future__ import annotations
 
@@ -77,11 +77,12 @@ def bands(rules: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
 
 
 def _in_band(words: DataFrame, found: DataFrame, position: Column, name: str) -> DataFrame:
-    """Words with the first band that holds the position; others go."""
-    b = found.select(*PAGE, F.col("band").alias(name), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    keyed = words.withColumn("__w", F.struct(*words.columns)).withColumn("__p", position)
-    hit = keyed.join(b, list(PAGE)).filter((F.col("__p") >= F.col("__s")) & (F.col("__p") < F.col("__e")))
-    return hit.groupBy(*PAGE, "__w").agg(F.min(name).alias(name)).select("__w.*", name)
+    """Words with the first band that holds the position; others go. A page's bands are joined as one array, so words are
+    neither multiplied nor grouped."""
+    b = found.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("band", "start", "end"))).alias("__bands"))
+    keyed = words.withColumn("__p", position).join(b, list(PAGE))
+    first = F.try_element_at(F.filter("__bands", lambda x: (F.col("__p") >= x["start"]) & (F.col("__p") < x["end"])), F.lit(1))
+    return keyed.withColumn(name, first["band"]).filter(F.col(name).isNotNull()).drop("__p", "__bands")
 
 
 def rows_to_lines(words: DataFrame, found: DataFrame) -> DataFrame:
