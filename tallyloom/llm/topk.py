@@ -10,7 +10,8 @@ meet every block of vectors, and the k best of each block are merged.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id;
 shorter vectors count as padded with zeros; all rows with the query's own id are its own; a repeated query id is asked
-once; repeated rows under other ids are candidates each for itself; further columns are ignored.
+once; repeated rows under other ids are candidates each for itself; further columns are ignored. Scores are exact while no
+sum of products reaches 2**53.
 """
 
 from __future__ import annotations
