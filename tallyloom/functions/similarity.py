@@ -66,6 +66,26 @@ def partial_ratio(pattern: Column, text: Column) -> Column:
     return F.when(empty, F.when(F.length(pattern) == F.length(text), 100.0).otherwise(0.0)).when(F.length(pattern) <= F.length(text), let(_chars(pattern), lambda p: slide(p, text))).otherwise(let(_chars(text), lambda p: slide(p, pattern)))
 
 
+def letter_bits(phrase: str) -> Column:
+    """For each letter from a to z, the bits of its places in a phrase."""
+    return F.array(*[F.lit(sum(1 << i for i, c in enumerate(phrase) if c == letter)).cast("bigint") for letter in "abcdefghijklmnopqrstuvwxyz"])
+
+
+def resembles(phrase: Column, parts: Column, bits: Column, text: Column, threshold: float) -> Column:
+    """Whether the partial ratio of a phrase with a text is at least ``threshold``; both have letters from a to z only.
+    ``parts``: the phrase's ``pieces`` with their places in it (text, at from 0); ``bits``: its ``letter_bits``. In a text as long as the phrase, the window that reaches the threshold holds a
+    part unchanged, no further from its place than edits are allowed, so only windows around the parts found are scored."""
+    n, m = F.length(phrase), F.length(text)
+    edits = F.floor(F.lit(2 * (1 - threshold / 100)) * n + F.lit(1e-9)).cast("int")
+    places_of = lambda part: F.filter(F.sequence(F.lit(1), m - F.length(part["text"]) + 1), lambda i: F.substring(text, i, F.length(part["text"])) == part["text"])
+    starts = F.flatten(F.transform(F.filter(parts, lambda part: text.contains(part["text"])), lambda part: F.transform(places_of(part), lambda i: i - part["at"])))
+    windows = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(F.greatest(i - edits, F.lit(2) - n), F.least(i + edits, m)))))
+    size = lambda i: F.least(n, F.least(n + i - 1, m - i + 1))
+    good = lambda places: F.exists(windows, lambda i: F.lit(200.0) * _met(n, F.slice(places, F.greatest(i, F.lit(1)), size(i))) / (n + size(i)) >= threshold)
+    long = F.exists(parts, lambda part: text.contains(part["text"])) & let(F.transform(_chars(text), lambda c: F.element_at(bits, F.ascii(c) - 96)), good)
+    return F.when(m >= n, long).otherwise(partial_ratio(phrase, text) >= threshold)
+
+
 def pieces(phrase: str, threshold: float) -> list[str]:
     """Parts of a phrase of which any text with a partial ratio of at least ``threshold`` contains one unchanged.
 

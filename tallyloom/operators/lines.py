@@ -10,9 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import MONEY, first_or_null, let, money, record, strip, texts
+from ..functions.columns import MONEY, first_or_null, let, money, record, strip
 from ..functions.money import D, money_tokens, parse_amount
-from ..functions.similarity import partial_ratio, pieces
+from ..functions.similarity import letter_bits, pieces, resembles
 from ..functions.text import canon, canon_of
 
 TRANSACTION, PAGE_TOTAL, HEADER, SEPARATOR, LIMITS, OPENING, FILLER, CARRY = "TRANSACTION", "PAGE_TOTAL", "HEADER_REPEAT", "SEPARATOR", "LIMITS_TABLE", "OPENING", "BLANK_FILLER", "CARRY_FORWARD"
@@ -86,18 +86,26 @@ def is_column_header(text: Column, c: Column) -> Column:
     return ~text.rlike(r"\d[\d,]*\.\d{2}") & (F.size(F.filter(names, lambda n: c.contains(n))) >= COLUMNS_NEEDED)
 
 
+def _parts(phrase: str) -> Column:
+    """The parts of a phrase that is long enough to be compared fuzzily, with their places."""
+    parts, at = [], 0
+    for x in pieces(phrase, FUZZY) if len(phrase) >= FUZZY_LENGTH else []:
+        parts.append(record(text=F.lit(x), at=F.lit(at)))
+        at += len(x)
+    return F.array(*parts) if parts else F.array().cast("array<struct<text:string,at:int>>")
+
+
 def classify_line(text: Column, layout: Profile | None = None) -> Column:
     """kind, label, reason of a line. Only lines that hold a part of a phrase unchanged are compared fuzzily with it."""
     traps = dict.fromkeys((k, canon_of(p), label) for k, p, label in [*(layout.traps if layout else []), *TRAPS])
-    row = lambda k, p, label: record(kind=F.lit(k), label=F.lit(label), phrase=F.lit(p), parts=texts(*(pieces(p, FUZZY) if len(p) >= FUZZY_LENGTH else [])))
+    row = lambda k, p, label: record(kind=F.lit(k), label=F.lit(label), phrase=F.lit(p), parts=_parts(p), bits=letter_bits(p))
     phrases = F.array(*[row(*t) for t in traps])
 
     def by_text(t: Column, c: Column) -> Column:
         out = lambda kind, label, why: record(kind=F.lit(kind), label=F.lit(label), reason=F.lit(why))
         hit = lambda found, why: F.when(F.size(found) > 0, record(kind=found[0]["kind"], label=found[0]["label"], reason=F.lit(why)))
         blank = F.regexp_replace(t, r"(?U)[.\-_=*~+·:\s]", "") == ""
-        hint = lambda p: (F.length(c) < F.length(p["phrase"])) | F.exists(p["parts"], lambda x: c.contains(x))
-        near = lambda p: (F.size(p["parts"]) > 0) & hint(p) & (partial_ratio(p["phrase"], c) >= FUZZY)
+        near = lambda p: (F.size(p["parts"]) > 0) & resembles(p["phrase"], p["parts"], p["bits"], c, FUZZY)
         header = F.when(is_column_header(t, c), out(HEADER, "COLUMN_HEADER", "header tokens, no money"))
         case = F.when(t == "", out(FILLER, "EMPTY", "blank")).when((F.length(c) < 3) & blank, out(SEPARATOR, "RULE", "separator glyphs only")).when(c == "", out(FILLER, "NO_TEXT", "no alphabetic content"))
         exact = let(F.filter(phrases, lambda p: c.contains(p["phrase"])), lambda f: hit(f, "canonical match"))

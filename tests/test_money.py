@@ -66,6 +66,26 @@ def test_similarity_against_brute_force(spark):
         assert r.c == _common(r.a, r.b) and abs(r.p - partial(r.a, r.b)) < 1e-9
 
 
+def test_resemblance_is_the_partial_ratio(spark):
+    """Damaged phrases inside other text, around the threshold."""
+    import random
+
+    from tallyloom.operators.lines import _parts
+
+    rng, phrase = random.Random(2), "statementofaccount"
+    texts = []
+    for _ in range(250):
+        p = list(phrase)
+        for _ in range(rng.randrange(0, 5)):
+            k = rng.randrange(len(p))
+            p[k : k + rng.randrange(0, 2)] = rng.choice(["", "x", "t"])
+        cut = rng.randrange(0, 4)
+        texts.append("".join(rng.choice("aetnos") for _ in range(rng.randrange(0, 12))) + "".join(p)[cut:] + "".join(rng.choice("aetnos") for _ in range(rng.randrange(0, 12))))
+    df = spark.createDataFrame([(t,) for t in texts + ["", "ment"]], "t string")
+    rows = df.select(S.resembles(F.lit(phrase), _parts(phrase), S.letter_bits(phrase), F.col("t"), 88).alias("a"), (S.partial_ratio(F.lit(phrase), F.col("t")) >= 88).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and 30 < sum(r.a for r in rows) < 240
+
+
 def test_pieces_never_miss():
     """Whatever two edits hit, one of the parts stays whole."""
     phrase = "openlngbalance"
