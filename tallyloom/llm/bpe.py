@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import free
+from .shared import free, lean
 
 #: The largest rank file that is broadcast, in bytes.
 MAX_RANK_BYTES = 64 << 20
@@ -97,7 +97,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, emit: tuple[str, ...]
                 cols = [batch.column(i) for i in range(len(kept))] + [pa.array(out[k], ARROW[k]) for k in emit]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *emit])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 ARROW = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -115,4 +115,4 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", out: s
             raw = [None if x is None else enc.decode_bytes(x) for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(raw, pa.binary())], names=[*kept, out])
 
-    return df.select(*[df[f"`{c}`"] for c in kept], df[f"`{ids}`"].alias(free(kept, "__ids"))).mapInArrow(run, schema)
+    return df.select(*[df[f"`{c}`"] for c in kept], df[f"`{ids}`"].alias(free(kept, "__ids"))).mapInArrow(lean(run), schema)

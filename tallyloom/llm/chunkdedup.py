@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free
+from .shared import free, lean
 from .textnum import groups, stream
 
 WINDOW, RADIUS, MAX_CHUNK, MIN_RUN = 16, 16, 1024, 96
 #: Bytes of a text that are hashed at a time, and bytes before and after that their boundaries depend on.
 SEGMENT, MARGIN = 1 << 20, 64
 #: Bytes of texts whose equal chunks are resolved at once.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 GEAR = stream(256, 21)
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -180,8 +180,8 @@ def marks(docs: DataFrame) -> DataFrame:
             cols = list(zip(*passed[at : at + 10_000]))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["__id", "__row", "places"])
 
-    sent = docs.select("__id", "__row", "text").mapInArrow(read, WIRE)
-    return sent.repartitionById(n, F.col("bucket")).mapInArrow(meet, "__id long, __row long, places binary")
+    sent = docs.select("__id", "__row", "text").mapInArrow(lean(read), WIRE)
+    return sent.repartitionById(n, F.col("bucket")).mapInArrow(lean(meet), "__id long, __row long, places binary")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -208,4 +208,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 cols[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(list(x), pa.int64()) for x in zip(*counts))], names=[*kept, *added])
 
-    return rows.mapInArrow(clean, schema)
+    return rows.mapInArrow(lean(clean), schema)

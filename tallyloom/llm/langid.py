@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free
+from .shared import free, lean
 
 #: The bound of the training sample: documents, and windows of so many characters from each.
 SAMPLE_DOCS, WINDOWS, WINDOW = 3_000, 8, 96
 #: Bytes in a chunk, hidden units in each direction, training steps, windows in a step.
 CHUNK, HIDDEN, STEPS, BATCH = 64, 8, 500, 192
 #: Chunks that run side by side, and bytes of texts that are laid out at a time.
-AT_ONCE, BYTES_AT_ONCE = 4_096, 4 << 20
+AT_ONCE, BYTES_AT_ONCE = 2_048, 1 << 20
 
 
 class Layer:
@@ -216,4 +216,4 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                         label[i], score[i] = net.labels[int(row.argmax())], float(min(1.0, row.max()))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*kept, *added])
 
-    return docs.select(*[docs[f"`{c}`"] for c in kept], docs["text"].alias(free(kept, "__text"))).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"] for c in kept], docs["text"].alias(free(kept, "__text"))).mapInArrow(lean(run), schema)

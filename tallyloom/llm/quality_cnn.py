@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free
+from .shared import free, lean
 
 #: The bound of the training sample: documents of each label, and chunks of each document.
 SAMPLE, CHUNKS = 1_500, 6
@@ -181,4 +181,4 @@ def classify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                 score = net.score(texts).astype(np.float64) if net else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=[*kept, *added])
 
-    return docs.select(*[docs[f"`{c}`"] for c in kept], docs["text"].alias(free(kept, "__text"))).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"] for c in kept], docs["text"].alias(free(kept, "__text"))).mapInArrow(lean(run), schema)

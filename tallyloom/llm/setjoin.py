@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, lean, written
 from .textnum import groups, mixed, shingle_sets, stream
 
 WIDTH = 5
@@ -40,7 +40,7 @@ Sets = Callable[[list[bytes]], list[np.ndarray]]
 #: The largest boundary that is weighed; cost of a verified set, in list entries.
 MOST_LIGHT, VERIFY = 12, 24
 #: Shingles are counted over so many at a time; those found this often at once may go last in the order, at most so many.
-COUNTED, OFTEN, LAST = 2_000_000, 3, 200_000
+COUNTED, OFTEN, LAST = 3_000_000, 3, 200_000
 #: Lists with more sets are compared with one of them first.
 LONG = 32
 #: Members that then stand for their list in each further round, rounds, pairs below which rounds end, and members in a block.
@@ -168,7 +168,7 @@ def _sizes(docs: DataFrame, make: Sets) -> DataFrame:
                     count = 0
         yield often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, c1 long, c2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "kind int, doc_id long, n long, c1 long, c2 long")
 
 
 def _pairs(n: np.ndarray, flag: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -294,8 +294,8 @@ def _join(docs: DataFrame, light: int, order: Order, make: Sets) -> DataFrame:
                 cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(left[:, 0]), pa.array(left[:, 1]), pa.array(t[b, 0]), pa.array(t[b, 1])]
                 yield pa.RecordBatch.from_arrays(cols, names=["kind", "a1", "a2", "b1", "b2"])
 
-    sent = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(send, "bucket int, classes binary, entries binary")
-    return sent.repartitionById(n_parts, F.col("bucket")).mapInArrow(meet, "kind int, a1 long, a2 long, b1 long, b2 long")
+    sent = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(lean(send), "bucket int, classes binary, entries binary")
+    return sent.repartitionById(n_parts, F.col("bucket")).mapInArrow(lean(meet), "kind int, a1 long, a2 long, b1 long, b2 long")
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -337,7 +337,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool, make: Sets) -> DataFr
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() if whole else parity(x) for x in sets], pa.binary())], names=["id", "n", "s"])
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.select("doc_id", "text", place.alias("p")).mapInArrow(run, "id long, n long, s binary")
+    return rows.select("doc_id", "text", place.alias("p")).mapInArrow(lean(run), "id long, n long, s binary")
 
 
 def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda k: maps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, make: Sets) -> DataFrame:
@@ -366,7 +366,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, make: Sets) -> DataFrame:
 
     s = written(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), True, make), "sets")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").toDF("u", "v").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long").toDF("u", "v").distinct()
 
 
 def _placed(found: DataFrame, node: str, component: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives its freed memory back to the system at the end of each partition; Python workers
+    live on, and what one holds idle is missing for the others."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def free(columns: list[str], name: str) -> str:
     """The name, with underscores behind it until no column has it."""
     taken = {c.lower() for c in columns}
@@ -67,7 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges are first contracted within partitions. Then each round gives a node the smallest label among its own, its
     neighbours' and that label's own label, until nothing changes; each round's labels are written to the shared folder."""
-    e = written(edges.filter("u <> v").mapInArrow(_contract, "u long, v long"), "edges")
+    e = written(edges.filter("u <> v").mapInArrow(lean(_contract), "u long, v long"), "edges")
     both = written(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
     labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).withColumnRenamed("u", "node"), "labels")
     while True:

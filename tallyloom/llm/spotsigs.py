@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .setjoin import join
+from .shared import lean
 from .textnum import mixed, stream, words
 
 #: Common words of English, German, French and Spanish.
@@ -34,7 +35,7 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 #: Bytes of texts that are fingerprinted at a time.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 #: Between words: ASCII but for letters and digits.
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 KEYS = stream(CHAIN + 2, 31) | np.uint64(1)
@@ -176,6 +177,6 @@ def with_next(docs: DataFrame) -> DataFrame:
                 if size > BYTES_AT_ONCE and len(held) > 1:
                     yield flush(None)
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), F.xxhash64("text").alias("tie"), "text").mapInArrow(send, "part int, ahead boolean, doc_id long, k long, tie long, packed binary")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), F.xxhash64("text").alias("tie"), "text").mapInArrow(lean(send), "part int, ahead boolean, doc_id long, k long, tie long, packed binary")
     dealt = sent.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions("part", "ahead", "k", "tie")
-    return dealt.mapInArrow(compare, SCHEMA)
+    return dealt.mapInArrow(lean(compare), SCHEMA)

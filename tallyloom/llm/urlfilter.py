@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import free
+from .shared import free, lean
 
 #: The most rules that are broadcast.
 MAX_RULES = 1_000_000
@@ -93,4 +93,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
             new = [[c[0] for c in cuts], [c[1] for c in cuts], [f[0] for f in found], [f[1] for f in found]]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *(pa.array(x, pa.string()) for x in new)], names=[*kept, *ADDED])
 
-    return pages.select(*[pages[f"`{c}`"] for c in kept], pages["url"].alias(free(kept, "__url"))).mapInArrow(run, schema)
+    return pages.select(*[pages[f"`{c}`"] for c in kept], pages["url"].alias(free(kept, "__url"))).mapInArrow(lean(run), schema)
