@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, lean, written
@@ -133,8 +133,13 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def row_key() -> Column:
+    """The key of a row's doc_id and text. A class of equal sets is named by the smallest key of its rows."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def _sizes(docs: DataFrame, make: Sets) -> DataFrame:
-    """A row for each document (kind 0: doc_id, n, class) and for each shingle that is often met at once (kind 1)."""
+    """A row for each document (kind 0: doc_id, row key, n, class) and for each shingle that is often met at once (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -148,11 +153,11 @@ def _sizes(docs: DataFrame, make: Sets) -> DataFrame:
             times = np.diff(np.append(start, len(x)))
             pick = times >= OFTEN
             k = int(pick.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(times[pick].astype(np.int64)), pa.array(x[start[pick]].view(np.int64)), pa.array(np.zeros(k, np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(times[pick].astype(np.int64)), pa.array(x[start[pick]].view(np.int64)), pa.array(np.zeros(k, np.int64))], names=names)
 
-        names = ["kind", "doc_id", "n", "c1", "c2"]
+        names = ["kind", "doc_id", "row", "n", "c1", "c2"]
         for whole in batches:
-            for part, texts in groups(whole, 1):
+            for part, texts in groups(whole, 2):
                 sets = make(texts)
                 cls = [_digest(s) for s in sets]
                 for s, c in zip(sets, cls):
@@ -160,7 +165,7 @@ def _sizes(docs: DataFrame, make: Sets) -> DataFrame:
                         seen.add(c)
                         held.append(s)
                         count += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in cls], pa.int64()), pa.array([c[1] for c in cls], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in cls], pa.int64()), pa.array([c[1] for c in cls], pa.int64())], names=names)
                 if count >= COUNTED:
                     yield often()
                     held.clear()
@@ -168,7 +173,7 @@ def _sizes(docs: DataFrame, make: Sets) -> DataFrame:
                     count = 0
         yield often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "kind int, doc_id long, n long, c1 long, c2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(lean(run), "kind int, doc_id long, row long, n long, c1 long, c2 long")
 
 
 def _pairs(n: np.ndarray, flag: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -318,9 +323,9 @@ def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool, make: Sets) -> DataFrame:
-    """id, n and the set (``whole``) or its bit map of the documents in ``ids`` (doc_id), and of a few others: ids are told
-    by a bit of 2**24, which are broadcast (2 MB), so that no text is shuffled."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
+    """id, n and the set (``whole``) or its bit map of the rows with the keys in ``ids`` (id), and of a few others: keys are
+    told by a bit of 2**24, which are broadcast (2 MB), so that no text is shuffled."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 24))
     told = ids.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m")).collect()
     bits = np.zeros((512, 4096), np.uint8)
     for r in told:
@@ -336,8 +341,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool, make: Sets) -> DataFr
                     sets = make(texts)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() if whole else parity(x) for x in sets], pa.binary())], names=["id", "n", "s"])
 
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.select("doc_id", "text", place.alias("p")).mapInArrow(lean(run), "id long, n long, s binary")
+    rows = docs.filter("doc_id IS NOT NULL").select(row_key().alias("id"), "text")
+    return rows.select("id", "text", place.alias("p")).mapInArrow(lean(run), "id long, n long, s binary")
 
 
 def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -353,7 +358,7 @@ def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, make: Sets) -> DataFrame:
-    """The pairs (a, b: doc_id) whose whole sets link, as u, v."""
+    """The pairs (a, b) of classes whose whole sets link, as u, v."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +369,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, make: Sets) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    s = written(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), True, make), "sets")
+    s = written(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), True, make), "sets")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long").toDF("u", "v").distinct()
 
@@ -427,29 +432,39 @@ def _apart(placed: DataFrame, maps: DataFrame, turn: int | None) -> DataFrame:
     return rows.groupBy("list", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, make: Sets = word_shingles) -> DataFrame:
-    """doc_id, n_shingles (the size of its set) and component_id (the smallest doc_id that links reach) of each document.
-    ``make``: what the sets are of."""
+def _of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of each doc_id that has several: of the first with all others."""
+    cls = F.struct("c1", "c2")
+    several = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(cls).alias("lo"), F.max(cls).alias("hi")).filter("lo <> hi")
+    several = written(several.select("doc_id", F.col("lo.c1").alias("u1"), F.col("lo.c2").alias("u2")), "several")
+    both = rows.filter("n > 0").join(several, "doc_id").filter("c1 <> u1 OR c2 <> u2").select("u1", "u2", "c1", "c2").distinct()
+    first = classes.select(F.col("c1").alias("u1"), F.col("c2").alias("u2"), F.col("node").alias("u"))
+    return both.join(first, ["u1", "u2"]).join(classes.select("c1", "c2", F.col("node").alias("v")), ["c1", "c2"]).select("u", "v")
+
+
+def _grouped(docs: DataFrame, make: Sets, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row, n, c1, c2), classes (c1, c2, node, rep, n) and the component of each node that has links (node,
+    component). ``by_id``: the texts of one doc_id are linked with each other."""
     spark = docs.sparkSession
     seen = written(_sizes(docs, make), "sizes")
-    rows = seen.filter("kind = 0").select("doc_id", "n", "c1", "c2")
+    rows = seen.filter("kind = 0").select("doc_id", "row", "n", "c1", "c2")
     often = seen.filter("kind = 1").groupBy("c1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c1").limit(LAST).toPandas()
     order = Order(often["c1"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64))
-    classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
     counts = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = boundary(counts)
     met = written(_join(docs, light, order, make), "met")
-    of = lambda side: classes.select(F.col("c1").alias(f"{side}1"), F.col("c2").alias(f"{side}2"), F.col("rep").alias(side), F.col("n").alias(f"n_{side}"))
+    of = lambda side: classes.select(F.col("c1").alias(f"{side}1"), F.col("c2").alias(f"{side}2"), F.col("node").alias(side), F.col("n").alias(f"n_{side}"))
     named = met.filter("kind < 2").join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"])
     pairs = written(named.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind")), "pairs")
-    own = rows.filter("n > 0").join(classes, ["c1", "c2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    repeated = own.join(classes.select(F.col("rep").alias("u")).distinct(), "u", "left_semi")  # ids with several texts
-    sure = pairs.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(repeated)
+    sure = pairs.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if by_id:
+        sure = sure.unionByName(_of_ids(rows, classes))
     lists = written(met.filter("kind = 2").select(F.col("a1").alias("list"), "b1", "b2").join(of("b"), ["b1", "b2"]).select("list", F.col("b").alias("id"), F.col("n_b").alias("n")), "lists")
     open_ = pairs.filter("kind = 0").select("a", "b")
-    maps = written(_sets_of(docs, open_.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(lists.select(F.col("id").alias("doc_id"))), False, make), "maps")
+    maps = written(_sets_of(docs, open_.select(F.explode(F.array("a", "b")).alias("id")).unionByName(lists.select("id")), False, make), "maps")
     likely = written(_likely(open_, maps), "likely")
-    # one candidate of each document first; of the rest, only those that are still apart
+    # one candidate of each class first; of the rest, only those that are still apart
     first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(sure.unionByName(_verified(docs, first, make)), "links")
     found = components(links)
@@ -471,6 +486,15 @@ def join(docs: DataFrame, make: Sets = word_shingles) -> DataFrame:
             found = components(links)
         if turns and count < FEW:
             turns = [None]  # the last pass takes all pairs that are left
-    group = classes.join(found, classes["rep"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(group, ["c1", "c2"], "left")
+    return rows, classes, found
+
+
+def join(docs: DataFrame, make: Sets = word_shingles) -> DataFrame:
+    """doc_id, n_shingles (the size of its set) and component_id (the smallest doc_id that links reach) of each document.
+    ``make``: what the sets are of."""
+    rows, classes, found = _grouped(docs, make, True)
+    linked = written(classes.join(found, "node").select("c1", "c2", "rep", "component"), "linked")
+    least = written(linked.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    group = classes.select("c1", "c2", "rep").join(linked.join(least, "component").select("c1", "c2", "least"), ["c1", "c2"], "left")
+    out = rows.join(group.select("c1", "c2", F.coalesce("least", "rep").alias("component")), ["c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

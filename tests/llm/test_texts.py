@@ -124,6 +124,24 @@ def test_join_of_odd_rows(make):
     assert same == [(4, 2, 4), (4, 2, 4)]
 
 
+@pytest.mark.parametrize("long,block", [(32, 2048), (2, 2048), (2, 5)])
+def test_texts_of_one_id_link_their_groups(make, monkeypatch, long, block):
+    monkeypatch.setattr(J, "LONG", long)
+    monkeypatch.setattr(J, "BLOCK", block)
+    a, b, c = ("a b c d e f g", "k l m n o p q", "u v w x y z zz")
+    got = sorted(map(tuple, J.join(make([a, b, a, b, c], [1, 2, 5, 5, 3])).collect()))
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 3), (5, 3, 1), (5, 3, 1)]  # id 5 stands for no class, yet links 1 and 2
+    texts = family()
+    ids = [k % 60 for k in range(len(texts))]
+    single = groups(list(enumerate(texts)))
+    root = {i: i for i in range(60)}
+    for k, i in enumerate(ids):  # every text's component links its ids
+        x, y = sorted((root[i], root[ids[single[k][1]]]))
+        root = {j: x if r == y else r for j, r in root.items()}
+    want = sorted((i, single[k][0], root[i]) for k, i in enumerate(ids) if single[k][0])
+    assert sorted(tuple(r) for r in J.join(make(texts, ids)).collect() if r.n_shingles) == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 60), st.integers(1, 60), st.floats(0, 1))
 def test_parity_never_excludes_a_link(n, m, share):
