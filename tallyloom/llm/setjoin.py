@@ -498,3 +498,12 @@ def join(docs: DataFrame, make: Sets = word_shingles) -> DataFrame:
     group = classes.select("c1", "c2", "rep").join(linked.join(least, "component").select("c1", "c2", "least"), ["c1", "c2"], "left")
     out = rows.join(group.select("c1", "c2", F.coalesce("least", "rep").alias("component")), ["c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def text_groups(docs: DataFrame, make: Sets = word_shingles) -> DataFrame:
+    """row (row_key) and group of each text with a doc_id, once. Texts are in one group where links between sets reach;
+    a shared doc_id links nothing. A text with an empty set is a group of its own for each doc_id."""
+    rows, classes, found = _grouped(docs, make, False)
+    group = classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("group"))
+    own = rows.filter("doc_id IS NOT NULL").join(group, ["c1", "c2"], "left")
+    return own.groupBy("row").agg(F.min(F.coalesce("group", "row")).alias("group"))

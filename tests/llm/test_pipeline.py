@@ -58,6 +58,25 @@ def test_stages_take_odd_rows(make, spark):
     assert kept.filter("doc_id >= 20").count() == 1 and kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_texts_of_one_id_are_kept_unless_alike(make, spark):
+    long = [" ".join(f"{x}{k}" for k in range(40)) for x in "abcd"]
+    near = long[1].replace("b39", "other")
+    #        one id, two texts   a copy of one  near, same id  empty sets  equal rows
+    texts = [long[0], long[1], long[0], near, long[2], None, "", "", "é", long[3], long[3]]
+    ids = [7, 7, 9, 7, 9, 7, 7, 7, 7, 11, 11]
+    sources = ["x"] * 9 + ["b", "a"]
+    want = None
+    for turn in range(2):
+        rows = list(zip(texts, ids, sources))[:: -1 if turn else 1]
+        docs = make([r[0] for r in rows], [r[1] for r in rows], extra=[r[2] for r in rows]).drop("source").withColumnRenamed("extra", "source").repartition(3)
+        out = sorted((tuple(r) for r in P.jaccard_join(spark, docs, SF).select("doc_id", "text", "source").collect()), key=str)
+        got = [(i, t) for i, t, _ in out if t not in (long[1], near)]
+        assert sorted(got, key=str) == sorted([(7, long[0]), (9, long[2]), (7, None), (7, ""), (7, "é"), (11, long[3])], key=str)
+        assert sum(t in (long[1], near) for _, t, _ in out) == 1  # one of them stays
+        want = want or out
+        assert out == want  # whatever the order of the rows
+
+
 def test_rejected_documents_go(make, spark, monkeypatch):
     monkeypatch.setattr(langid, "STEPS", 5)
     out = P.language_id(spark, make(["hello there", None, "12 34", "", "world of words"]), SF)
