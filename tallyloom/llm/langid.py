@@ -2,8 +2,9 @@
 
 Texts are cut into chunks of CHUNK bytes. One recurrent layer reads each chunk forwards, one backwards, both from a zero
 state; every position gets a probability for each language, and a document's probabilities are the means over all its
-positions. Training is by backpropagation through time and Adam, on the driver, over windows of at most SAMPLE_DOCS
-labelled documents (WINDOWS of WINDOW characters each, at places drawn by hash); prediction reads whole texts.
+positions. Training is by backpropagation through time and Adam, on the driver, over windows of about SAMPLE_DOCS
+labelled documents, as many of each language, at least EACH[0] and at most EACH[1] (WINDOWS of WINDOW characters each, at
+places drawn by hash); prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as are all if no label was learned; rows with
 a null id are never learned from; of tied languages the first in alphabetical order wins; repeated rows are predicted
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,7 @@ from .shared import free, lean
 
 #: The bound of the training sample: documents, and windows of so many characters from each.
 SAMPLE_DOCS, WINDOWS, WINDOW = 3_000, 8, 96
+EACH = (100, 1_000)
 #: Bytes in a chunk, hidden units in each direction, training steps, windows in a step.
 CHUNK, HIDDEN, STEPS, BATCH = 64, 8, 500, 192
 #: Chunks that run side by side, and bytes of texts that are laid out at a time.
@@ -170,7 +172,7 @@ def windows_of(docs: DataFrame, picked: DataFrame, label: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     room = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
     starts = F.array(*[(F.pmod(F.xxhash64("doc_id", F.lit(j)), room) + 1).cast("int") for j in range(WINDOWS)])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", label, "text").join(F.broadcast(picked), ["doc_id", label])
     return rows.select(label, F.transform(starts, lambda s: F.substring(text, s, F.lit(WINDOW))).alias("windows"))
 
 
@@ -180,9 +182,13 @@ def fold(modulus: int) -> Column:
 
 
 def learn(docs: DataFrame, allowed: Column, sample: int = SAMPLE_DOCS, steps: int = STEPS) -> Model | None:
-    """A model of the languages in ``docs`` where ``allowed``; None if there is no labelled text."""
-    ids = docs.filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).dropDuplicates(["doc_id"])
+    """A model of all languages in ``docs`` where ``allowed``; None if there is no labelled text. Of each language, the
+    documents with the smallest hashes are learned; up to EACH[1] (1,000) a window keeps only those of each partition."""
+    ids = docs.filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    ids = ids.filter(F.length("text") > 0).select("doc_id", "lang").distinct()
+    most = min(EACH[1], max(EACH[0], -(-sample // max(1, ids.select("lang").distinct().count()))))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = ids.withColumn("place", place).filter(F.col("place") <= most).drop("place")
     rows = sorted((r.lang, [w.encode() for w in r.windows if w]) for r in windows_of(docs, picked, "lang").collect())
     labels = sorted({lang for lang, ws in rows if ws})
     if not labels:

@@ -62,6 +62,11 @@ def test_languages_of_odd_rows(make):
     assert L.identify(docs.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_learned(make, spark):
+    docs = make(["the cat"] * 400 + ["der hund", "", "le chien"], list(range(402)) + [5], extra=["en"] * 400 + ["de", "xx", "fr"]).drop("lang").withColumnRenamed("extra", "lang")
+    assert L.learn(docs, F.lit(True), sample=8, steps=1).labels == ["de", "en", "fr"]  # xx has no text
+
+
 def test_quality_query(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = R.op5_quality_cnn(spark, SF).collect()
