@@ -1,12 +1,16 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame functions only.
 
 A topology is a tuple of regions, each a tuple of racks, each a tuple of shard weights; shards are numbered in
-that order. A row descends from the root: at each level every child draws ``-ln(u) / weight`` with ``u`` hashed from
-the row's key and the child's own name, and the smallest draw wins. A child's draw depends on nothing but the key,
-its name and its weight, so a changed weight moves rows only into or out of the subtrees whose weight changed.
+that order. For a row's key every shard draws ``-ln(u) / weight``, with ``u`` hashed from the key and the shard's own name.
+The draw of a rack is the smallest of its shards', that of a region the smallest of its racks': again exponential, with the
+sum of the weights. A row descends from the root to the region, the rack and the shard with the smallest draw. No draw
+depends on anything outside its subtree, so a changed weight moves rows only into or out of the subtrees whose weights
+changed, and an added shard takes rows only into itself, whatever region or rack it joins.
 
-Defined cases: null keys draw as one key; null texts have size 1 and crc32 0; repeated rows get slots of their own in
-the order of their size and crc32; empty tables give empty results; further columns of the input are ignored.
+Slots: rows with the same key, size and digest are one group, numbered in bulk, so copies meet in no task.
+
+Defined cases: null keys draw as one key; null texts have size 1 and crc32 0; very long texts count by their bytes; repeated
+rows get slots of their own; empty tables give empty results; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,81 +20,96 @@ from pyspark.sql import functions as F
 
 Topology = tuple[tuple[tuple[float, ...], ...], ...]
 
-#: Shards of the first two regions (two racks of two); every further shard is a region of its own.
-BASE = 8
-#: Slices of a shard that are numbered side by side; the table of their sizes has shards x slices rows.
-SLICES = 64
+#: Racks of a region and shards of a rack, in topologies by count.
+RACKS, SHARDS = 2, 2
+#: Slices of a shard that are numbered side by side, and the most shards x slices whose counts are broadcast.
+SLICES, MOST_CELLS = 64, 1 << 16
+#: Slots that are made of a group at once.
+CHUNK = 65_536
 
 
 def topology(n_shards: int) -> Topology:
-    """The tree for a count of shards. One more shard beyond BASE adds a region, so it takes rows only into itself."""
+    """The tree for a count of shards: regions of RACKS racks of SHARDS shards, filled in order."""
     if n_shards < 1:
         raise ValueError("a tree needs a shard")
-    if n_shards < BASE:
-        return tuple(((1.0,),) for _ in range(n_shards))
-    return (((1.0, 1.0), (1.0, 1.0)),) * 2 + tuple(((1.0,),) for _ in range(n_shards - BASE))
+    racks = [(1.0,) * min(SHARDS, n_shards - at) for at in range(0, n_shards, SHARDS)]
+    return tuple(tuple(racks[at : at + RACKS]) for at in range(0, len(racks), RACKS))
+
+
+def _draws(key: Column, name: str, weights: tuple[float, ...]) -> list[Column | None]:
+    """The draw of each shard of a rack; None for weight 0."""
+    u = lambda i: (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{name}/s{i}")), 11).cast("double") + F.lit(0.5)) / F.lit(2.0**53)
+    return [-F.log(u(i)) / F.lit(float(w)) if w > 0 else None for i, w in enumerate(weights)]
 
 
-def _choose(key: Column, names: list[str], weights: list[float]) -> Column:
-    """The index of the child with the smallest weighted draw."""
-    draws = []
-    for i, (name, w) in enumerate(zip(names, weights, strict=True)):
-        if w > 0:
-            u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11).cast("double") + F.lit(0.5)) / F.lit(2.0**53)
-            draws.append(F.struct((-F.log(u) / F.lit(float(w))).alias("draw"), F.lit(i).alias("child")))
-    if not draws:
-        raise ValueError("every child has weight 0")
-    return draws[0]["child"] if len(draws) == 1 else F.array_min(F.array(*draws))["child"]
+def _least(draws: list[Column]) -> Column:
+    return draws[0] if len(draws) == 1 else F.least(*draws)
 
 
 def place(df: DataFrame, key: str, tree: Topology, out: str = "shard") -> DataFrame:
     """``df`` with the shard (int, from 0) that ``tree`` gives to each row's key."""
-    k = F.col(key)
-    region, rack = f"__{out}_region", f"__{out}_rack"
-    sums = [[sum(r) for r in racks] for racks in tree]
-    df = df.withColumn(region, _choose(k, [f"r{i}" for i in range(len(tree))], [sum(s) for s in sums]))
-    by_region = [(i, _choose(k, [f"r{i}/k{j}" for j in range(len(s))], s)) for i, s in enumerate(sums) if sum(s) > 0]
-    df = df.withColumn(rack, _case(F.col(region), by_region))
-    leaves, first = [], 0
+    k, names = F.col(key), {}
+    draws, regions, first = {}, [], 0
     for i, racks in enumerate(tree):
         inner = []
         for j, shards in enumerate(racks):
-            if sum(shards) > 0:
-                inner.append((j, F.lit(first) + _choose(k, [f"r{i}/k{j}/s{n}" for n in range(len(shards))], list(shards))))
+            at = [(first + n, d) for n, d in enumerate(_draws(k, f"r{i}/k{j}", shards)) if d is not None]
             first += len(shards)
+            for n, d in at:
+                draws[names.setdefault(n, f"__{out}_{n}")] = d
+            if at:
+                inner.append([n for n, _ in at])
         if inner:
-            leaves.append((i, _case(F.col(rack), inner)))
-    return df.withColumn(out, _case(F.col(region), leaves).cast("int")).drop(region, rack)
-
-
-def _case(on: Column, branches: list[tuple[int, Column]]) -> Column:
-    if len(branches) == 1:
-        return branches[0][1]
-    out = F.when(on == branches[0][0], branches[0][1])
-    for i, c in branches[1:]:
-        out = out.when(on == i, c)
-    return out
-
-
-def number(df: DataFrame, shard: str, key: str, order: list[str], n_shards: int, slices: int = SLICES, out: str = "slot") -> DataFrame:
-    """Gapless numbers from 0 within each shard. Each shard is cut into slices by the key's hash; slices are numbered
-    in parallel and start where the smaller slices end. Their counts, n_shards x slices rows at most, are broadcast."""
-    cut = F.pmod(F.xxhash64(F.col(key), F.lit("slice")), F.lit(slices)).cast("int")
-    df = df.withColumn("__slice", cut)
-    counts = df.groupBy(shard, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+            regions.append(inner)
+    if not regions:
+        raise ValueError("every shard has weight 0")
+    of = lambda shards: _least([F.col(names[n]) for n in shards])
+    whole = lambda racks: _least([of(r) for r in racks])
+    shard = lambda r: _first([(F.col(names[n]), F.lit(n)) for n in r])
+    rack = lambda racks: _first([(of(r), shard(r)) for r in racks])
+    df = df.withColumns(draws)
+    return df.withColumn(out, _first([(whole(r), rack(r)) for r in regions]).cast("int")).drop(*draws)
+
+
+def _first(children: list[tuple[Column, Column]]) -> Column:
+    """The value of the child with the smallest draw, of equal ones the first."""
+    if len(children) == 1:
+        return children[0][1]
+    least = _least([d for d, _ in children])
+    found = F.when(children[0][0] == least, children[0][1])
+    for d, value in children[1:-1]:
+        found = found.when(d == least, value)
+    return found.otherwise(children[-1][1])
+
+
+def number(groups: DataFrame, shard: str, keys: list[str], n_shards: int, slices: int | None = None, out: str = "slot") -> DataFrame:
+    """Gapless numbers from 0 within each shard for the members of groups (__n each, distinct in ``keys``). Each shard is
+    cut into slices by the hash of ``keys``; slices are numbered in parallel and start where the smaller slices end. Groups are
+    expanded last, in chunks that are dealt out anew where a group has more than one."""
+    spark = groups.sparkSession
+    slices = slices or max(SLICES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = groups.withColumn("__slice", F.pmod(F.xxhash64(*keys, F.lit("slice")), F.lit(slices)).cast("int"))
+    counts = groups.groupBy(shard, "__slice").agg(F.sum("__n").alias("__of"))
     before = Window.partitionBy(shard).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(shard, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(shard, "__slice").orderBy(key, *order)
-    joined = df.withColumn("__row", F.row_number().over(within)).join(F.broadcast(starts), [shard, "__slice"])
-    return joined.withColumn(out, (F.col("__start") + F.col("__row") - 1).cast("long")).drop("__slice", "__start", "__row")
-
-
-def shard_documents(docs: DataFrame, n_shards: int = BASE, slices: int | None = None) -> DataFrame:
+    starts = counts.select(shard, "__slice", F.coalesce(F.sum("__of").over(before), F.lit(0)).alias("__start"))
+    if n_shards * slices <= MOST_CELLS:
+        starts = F.broadcast(starts)
+    within = Window.partitionBy(shard, "__slice").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = groups.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(starts, [shard, "__slice"])
+    placed = placed.withColumn("__first", F.col("__start") + F.col("__before"))
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / CHUNK))
+    placed = placed.withColumn("__chunk", F.explode(chunks))
+    placed = placed.filter("__n = 1").unionByName(placed.filter("__n > 1").repartition(*keys, "__chunk"))
+    last = F.least(F.col("__n"), (F.col("__chunk") + 1) * CHUNK) - 1
+    slots = F.explode(F.sequence(F.col("__chunk") * CHUNK, last))
+    return placed.withColumn("__of", slots).withColumn(out, (F.col("__first") + F.col("__of")).cast("long")).drop("__slice", "__start", "__before", "__first", "__chunk", "__of", "__n")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, slices: int | None = None) -> DataFrame:
     """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard)."""
-    slices = slices or max(SLICES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = place(rows, "doc_id", topology(n_shards), "shard")
-    rows = number(rows, "shard", "doc_id", ["size", "text_crc32"], n_shards, slices)
-    rows = place(rows, "doc_id", topology(n_shards + 1), "grown_shard")
+    keys = ["doc_id", "size", "text_crc32"]
+    groups = place(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "doc_id", topology(n_shards), "shard")
+    rows = place(number(groups, "shard", keys, n_shards, slices), "doc_id", topology(n_shards + 1), "grown_shard")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
