@@ -93,16 +93,47 @@ def test_network_by_hand():
     n += (Q.SPAN - n) % Q.STRIDE
     x = np.zeros(n * Q.BLOCK + Q.WIDTH - 1, np.uint8)
     x[: len(text)] = np.frombuffer(text, np.uint8)
-    level = np.zeros(n * Q.BLOCK, int)
-    level[: len(text)] = Q.echo(x[: len(text)])
-    conv = sum(m.p["emb"][x[k : k + n * Q.BLOCK]] @ m.p["w"][k] for k in range(Q.WIDTH)) + m.p["e"][level] + m.p["b"]
+    conv = sum(m.p["emb"][x[k : k + n * Q.BLOCK]] @ m.p["w"][k] for k in range(Q.WIDTH)) + m.p["b"]
     conv[-(Q.WIDTH - 1) :] = -np.inf
-    size, step = Q.SPAN * Q.BLOCK, Q.STRIDE * Q.BLOCK
-    tops = np.array([np.maximum(conv[a : a + size], 0).max(0) for a in range(0, len(conv) - size + 1, step)])
+    blocks = np.array([np.maximum(conv[a : a + Q.BLOCK], 0).max(0) for a in range(0, len(conv), Q.BLOCK)])
+    chunks = [blocks[a : a + Q.SPAN] for a in range(0, n - Q.SPAN + 1, Q.STRIDE)]
+    tops = np.array([np.maximum(np.concatenate([c.max(0), c.mean(0)]) @ m.p["w2"] + m.p["b2"], 0) for c in chunks])
     want = Q.sigmoid(np.concatenate([tops.max(0), tops.mean(0)]) @ m.p["v"] + m.p["c"][0])
     assert abs(m.score([text])[0] - want) < 1e-5
 
 
+def test_convolution_gradient():
+    m = Q.Model()
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    m.p["b2"] += 0.3
+    docs, y = [[b"the cat sat on the mat " * 30, b"a dog ran home, and it slept there for one hour or two. "], [b"!! junk || junk " * 20]], np.array([1.0, 0.0])
+    docs = [[c[: Q.BLOCK * Q.SPAN] for c in d] for d in docs]
+
+    def loss():
+        p, out = m.p, 0.0
+        for d, k in zip(docs, y):
+            units = []
+            for c in d:
+                x = np.zeros(Q.BLOCK * Q.SPAN + Q.WIDTH - 1, np.uint8)
+                x[: len(c)] = np.frombuffer(c, np.uint8)
+                conv = sum(p["emb"][x[j : j + Q.BLOCK * Q.SPAN]] @ p["w"][j] for j in range(Q.WIDTH)) + p["b"]
+                tops = np.maximum(conv.reshape(Q.SPAN, Q.BLOCK, -1).max(1), 0)
+                units.append(np.maximum(np.concatenate([tops.max(0), tops.mean(0)]) @ p["w2"] + p["b2"], 0))
+            z = np.concatenate([np.max(units, 0), np.mean(units, 0)]) @ p["v"] + p["c"][0]
+            out -= np.log(Q.sigmoid(z if k else -z)) / len(docs)
+        return out + 0.5e-4 * float(p["v"] @ p["v"])
+
+    grads = m.gradients(docs, y)
+    for k in m.p:
+        at = np.unravel_index(np.abs(grads[k]).argmax(), m.p[k].shape)
+        m.p[k][at] += 1e-4
+        up = loss()
+        m.p[k][at] -= 2e-4
+        down = loss()
+        m.p[k][at] += 1e-4
+        assert abs((up - down) / 2e-4 - grads[k][at]) < 2e-2 * max(0.1, abs(grads[k][at])), k
+
+
 def test_quality_of_odd_rows(make, spark):
     docs = make(ODD, score=["x"] * 9, __text=["y"] * 9)
     out = Q.classify(docs, Q.Model()).collect()
