@@ -1,17 +1,18 @@
 """Exact top-k search by inner product over an impact-ordered, score-at-a-time index.
 
 Components are integers, floor(1024 * x). Vectors are dealt into blocks of bounded size; in a block, each dimension has
-postings sorted by component and cut into segments of equal quantised impact. A query takes the segments of all
-dimensions by descending gain over the dimension's least contribution and adds each segment's least gain to its
-vectors' accumulators. At any time a vector's score lies between its accumulator and that plus the quantisation slack
-plus the gains still open in each dimension. The query stops only when this proves that all but a few vectors lie below
-the k-th accumulator; those few are rescored exactly, so the result is the exact one. Queries in blocks of bounded size
-meet every block of vectors, and the k best of each block are merged.
+postings sorted by component and cut into segments of equal quantised component. A query takes the segments of all
+dimensions by descending impact (the most that a posting of the segment can add) and adds every posting's product to its
+vector's accumulator. A vector's products that were not added yet are each at most the impact of the next segment, so its
+score is at most its accumulator plus that impact times their number. The exact k-th best score of the vectors that lead so
+far is a floor. The query stops only when this proves that all but a few vectors lie below the floor; those few are
+rescored exactly, so the result is the exact one. Queries in blocks of bounded size meet every block of vectors, and the k
+best of each block are merged.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id;
-shorter vectors count as padded with zeros; all rows with the query's own id are its own; a repeated query id is asked
-once; repeated rows under other ids are candidates each for itself; further columns are ignored. Scores are exact while no
-sum of products reaches 2**53.
+shorter vectors, however long the others are, count as padded with zeros; all rows with the query's own id are its own; a
+repeated query id is asked once; ties go to the smaller id; repeated rows under other ids are candidates each for itself; an
+empty table gives an empty result; further columns are ignored. Scores are exact while no sum of products reaches 2**53.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block and queries in a block, about.
-VECTOR_BLOCK, QUERY_BLOCK = 32_768, 2_048
+#: Vectors in a block at most; in a block that is only there to keep the cores busy at least; queries in a block, about.
+VECTOR_BLOCK, LEAST_BLOCK, QUERY_BLOCK = 32_768, 4_096, 2_048
 #: Components in a segment differ by less than this.
 WIDTH = 16
 #: Postings are taken in this many shares between two looks at the bounds.
-SHARES = 16
+SHARES = 24
 
 
 class ImpactIndex:
@@ -37,61 +38,52 @@ class ImpactIndex:
     def __init__(self, vectors: np.ndarray):
         self.v = vectors
         self.n, self.d = vectors.shape
-        self.ids = np.argsort(-vectors, axis=0, kind="stable").astype(np.int32)
-        starts, ends, dims, lows = [], [], [], []
+        ids = np.argsort(-vectors, axis=0, kind="stable").astype(np.int32)
+        starts, ends, dims = [], [], []
         for j in range(self.d):
-            level = vectors[self.ids[:, j], j] // WIDTH
+            level = vectors[ids[:, j], j] // WIDTH
             cut = np.flatnonzero(np.diff(level, prepend=level[0] + 1)) if self.n else np.empty(0, np.int64)
-            starts.append(cut)
-            ends.append(np.append(cut[1:], self.n) if len(cut) else cut)
+            starts.append(cut + j * self.n)
+            ends.append((np.append(cut[1:], self.n) if len(cut) else cut) + j * self.n)
             dims.append(np.full(len(cut), j))
-            lows.append(level[cut] * WIDTH)
-        self.start, self.end, self.dim, self.low = (np.concatenate(x).astype(np.int64) for x in (starts, ends, dims, lows))
-        self.flat = np.ascontiguousarray(self.ids.T)
+        self.start, self.end, self.dim = (np.concatenate(x).astype(np.int64) for x in (starts, ends, dims))
+        self.ids = np.ascontiguousarray(ids.T).reshape(-1)
+        self.values = np.take_along_axis(vectors, ids.astype(np.int64), 0).T.reshape(-1).astype(np.float64)
+        self.read = 0  # postings that queries took, of n x d for each
 
     def top(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best (own rows apart), and their exact scores."""
+        k = min(k, self.n - len(own))
+        if k <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         w = q[self.dim]
-        a, b = w * self.low, w * (self.low + WIDTH - 1)
-        least, most = np.minimum(a, b), np.maximum(a, b)
-        floor = np.full(self.d, np.iinfo(np.int64).max)
-        np.minimum.at(floor, self.dim, least)
-        gain, top_gain = least - floor[self.dim], most - floor[self.dim]
-        order = np.argsort(-top_gain, kind="stable")
+        impact = np.maximum(w * self.values[self.start], w * self.values[self.end - 1]) if self.n else w
+        order = np.argsort(-impact, kind="stable")
         order = order[w[order] != 0]
-        slack = int(np.abs(q).sum()) * (WIDTH - 1)
-        # the gain still open in a dimension is that of its next segment in this order
-        by_dim = order[np.argsort(self.dim[order], kind="stable")]
-        last = np.append(self.dim[by_dim][1:] != self.dim[by_dim][:-1], True) if len(by_dim) else np.empty(0, bool)
-        after = np.zeros(len(self.dim), np.int64)
-        after[by_dim[:-1]] = np.where(last[:-1], 0, top_gain[by_dim[1:]])
-        first = np.append(True, last[:-1]) if len(by_dim) else last
-        open_gain = int(top_gain[by_dim[first]].sum())
-        drops = np.cumsum(top_gain[order] - after[order])
-        acc = np.zeros(self.n)
-        acc[own] = -np.inf
         sizes = (self.end - self.start)[order]
-        share = max(1, int(sizes.sum()) // SHARES)
-        groups = np.searchsorted(np.cumsum(sizes), np.arange(1, SHARES + 2) * share)
-        few = max(4 * k, self.n // 64)
-        at, rest = 0, open_gain
-        k_own = min(k, self.n - len(own))
-        if k_own <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        alive = None
-        while True:
-            theta = np.partition(acc, self.n - k_own)[self.n - k_own]
-            alive = np.flatnonzero(acc + (slack + rest) >= theta)
-            if len(alive) <= few or at >= len(order):
+        total = np.append(0, np.cumsum(sizes))
+        acc, left = np.zeros(self.n), np.full(self.n, np.count_nonzero(q))
+        acc[own] = -np.inf
+        at, share = 0, max(1, int(total[-1]) // SHARES)
+        while at < len(order):
+            to = min(len(order), max(at + 1, int(np.searchsorted(total, total[at] + share))))
+            seg, size = order[at:to], sizes[at:to]
+            picked = np.repeat(self.start[seg] - (total[at:to] - total[at]), size) + np.arange(total[to] - total[at])
+            rows = self.ids[picked]
+            acc += np.bincount(rows, self.values[picked] * np.repeat(w[seg], size), self.n)
+            left -= np.bincount(rows, minlength=self.n)
+            at = to
+            if 2 * at < len(order):
+                continue  # impacts are still positive for the most part
+            most = acc + left * (impact[order[at]] if at < len(order) else 0.0)
+            lead = np.argpartition(-most, k - 1)[:k]
+            floor = (self.v[lead] @ q).min()
+            if np.count_nonzero(most >= floor) <= max(4 * k, self.n // 16):
                 break
-            to = int(groups[0]) + 1
-            groups = groups[1:] if len(groups) > 1 else np.array([len(order)])
-            to = min(max(to, at + 1), len(order))
-            seg = order[at:to]
-            picked = np.concatenate([self.flat[j, s:e] for j, s, e in zip(self.dim[seg], self.start[seg], self.end[seg])])
-            acc += np.bincount(picked, np.repeat(gain[seg], self.end[seg] - self.start[seg]), self.n)
-            rest, at = open_gain - int(drops[to - 1]), to
-        alive = alive[np.isfinite(acc[alive])]
+        self.read += int(total[at])
+        most = acc + left * (impact[order[at]] if at < len(order) else 0.0)
+        lead = np.argpartition(-most, k - 1)[:k]
+        alive = np.flatnonzero(most >= (self.v[lead] @ q).min())
         return alive, self.v[alive] @ q
 
 
@@ -111,7 +103,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         return df.filter(ok).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(e, lambda x: F.floor(F.lit(1024.0) * x.cast("double"))).alias("v"))
 
     vectors, asked = whole(embeddings), whole(queries).groupBy("id").agg(F.min("v").alias("v"))
-    v_blocks = max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
+    n, cores = vectors.count(), embeddings.sparkSession.sparkContext.defaultParallelism
+    v_blocks = max(1, math.ceil(n / VECTOR_BLOCK), min(cores, n // LEAST_BLOCK))
     q_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = vectors.withColumn("vb", block(v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))

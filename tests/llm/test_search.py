@@ -49,6 +49,20 @@ def test_stops_early_only_on_proof():
     assert len(rows) < 200 and set(want) <= set(rows.tolist()) and (v[rows] @ q == score).all()
 
 
+def test_share_of_postings_read(spark):
+    """On dense vectors without structure most postings must be read for a proof; the README states the share."""
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()], np.float32)
+    v = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    index, alive = T.ImpactIndex(v), 0
+    for i in range(0, 2000, 100):
+        rows, score = index.top(v[i], 10, np.array([i]))
+        alive += len(rows)
+        want = np.sort(np.delete(v @ v[i], i))[-10:]
+        assert (np.sort(score)[-10:] == want).all()
+    share = index.read / (20 * v.size)
+    assert share < 0.9 and alive / 20 <= 125, (share, alive)
+
+
 URLS = [
     "http://a.example.net/en/1", "https://EXAMPLE.NET/en/", "http://example.net/english", "http://example.net/de/1", "http://net/", "http://net", "http://xnet/", "http://x.org/fr/a?b=/", "http://org/fr/", "http://org/en/fr/", "http://example.com/de/#x",
     "http://example.com/de", "http://user@example.com:80/de/1", "no scheme", "", None, "://", "http://?x", "http://.net/", "http://EXAMPLE.com.net/de/", "http://a.net?/x/",
