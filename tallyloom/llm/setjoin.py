@@ -7,14 +7,16 @@ Equal sets are one class and are joined once.
   are enumerated; two light sets link exactly when they meet in a subset.
 * Heavy sets scan inverted lists. Shingles have one global order, the frequent ones last. A set stands in the lists of
   its first n - ceil(8 n / 9) + 1 shingles and scans those of its first n - ceil(4 n / 5) + 1; two sets that link with
-  a heavy one meet in such a list. Candidates are verified on their whole sets.
+  a heavy one meet in such a list. All candidates, light ones too, are verified on their whole sets.
 * The boundary is the size with the least cost, by the counts of sets of each size.
 
-A long list is not expanded into pairs: its members are first compared with one of them. Only where its members are
-still in different components are those compared with each other. So components are exact, and copies stay cheap.
+A long list is not expanded into pairs: its members are first compared with one of them, then with a few members of its
+largest component; only those that stay outside are compared with the others. So components are exact, and copies stay cheap.
+The lists of shingles that are counted often are dealt out over several tasks, each of which compares its own part first.
 
-Defined cases: null texts and texts without words have empty sets and link with nothing; rows with a null id have a
-size and no component; rows of one id are one document, with all their texts; further columns are ignored.
+Defined cases: null texts and texts without words have empty sets and link with nothing; very long texts have all their
+shingles; rows with a null id have a size and no component; rows of one id are one document, with all their texts; repeated
+rows are each in the result; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, lean, written
+from .shared import components, erase, lean, written
 from .textnum import groups, mixed, shingle_sets, stream
 
 WIDTH = 5
@@ -41,12 +43,16 @@ Sets = Callable[[list[bytes]], list[np.ndarray]]
 MOST_LIGHT, VERIFY = 12, 24
 #: Shingles are counted over so many at a time; those found this often at once may go last in the order, at most so many.
 COUNTED, OFTEN, LAST = 3_000_000, 3, 200_000
-#: Lists with more sets are compared with one of them first.
-LONG = 32
+#: Lists with more sets are compared with one of them first; lists of shingles counted so often are split.
+LONG, SPLIT = 32, 100_000
 #: Members that then stand for their list in each further round, rounds, pairs below which rounds end, and members in a block.
 HUBS, ROUNDS, FEW, BLOCK = 4, 4, 1_000, 2_048
+#: Parts that a list's members are dealt into when they meet its hubs.
+SALTS = 16
+#: Places of a map of ids for each id, and the most places (32 MB); beyond, rows and ids are joined.
+PLACES, MOST_PLACES = 16, 1 << 28
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i4"), ("flag", "u1")])
-INDEX, SCAN, SUBSET, LEVEL = 1, 2, 4, 8
+INDEX, SCAN, SUBSET, LEVEL, PART = 1, 2, 4, 8, 16
 NONE = np.empty(0, np.uint64)
 
 
@@ -128,6 +134,22 @@ class Order:
         return np.concatenate([early, rest[np.lexsort((rest, often))]])[:k]
 
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """How many parts the list of each shingle is dealt into."""
+        if not len(self.last):
+            return np.ones(len(x), np.uint64)
+        at = np.minimum(np.searchsorted(self.last, x), len(self.last) - 1)
+        return np.where(self.last[at] == x, 1 + self.counts[at] // SPLIT, 1).astype(np.uint64)
+
+
+def length_parts(n: int) -> int:
+    """The partition of a set's length: one ends where its first length's longest partner does."""
+    k, low = 0, 1
+    while (high := 5 * low // 4 + 1) <= n:
+        k, low = k + 1, high
+    return k
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
@@ -186,7 +208,8 @@ def _pairs(n: np.ndarray, flag: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
 
 
 def _meet(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all entries of some keys: candidate pairs of classes, linked pairs, and (group, class) of long lists."""
+    """Of all entries of some keys: candidate pairs of classes, pairs that met in a subset, and (key, class) of long lists and
+    of those that are dealt into parts."""
     e = e[np.lexsort((e["cls"], e["key"]))]
     if len(e):
         e = e[np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["cls"][1:] != e["cls"][:-1]))]
@@ -194,16 +217,17 @@ def _meet(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     size = np.diff(np.append(start, len(e)))
     size_of, flag, cls = n[e["cls"]], e["flag"], e["cls"].astype(np.int64)
     subset = (flag[start] & SUBSET) > 0 if len(e) else np.empty(0, bool)
+    long_ = ((size > LONG) | (flag[start] & PART > 0)) & ~subset if len(e) else np.empty(0, bool)
     found, links, long = [], [], []
-    for k in np.unique(size[(size > 1) & (size <= LONG) & ~subset]).tolist():
-        at = start[(size == k) & ~subset]
+    for k in np.unique(size[(size > 1) & ~long_ & ~subset]).tolist():
+        at = start[(size == k) & ~long_ & ~subset]
         i, j = np.triu_indices(k, 1)
         for c in range(0, len(at), max(1, 500_000 // len(i))):
             part = at[c : c + max(1, 500_000 // len(i))]
             a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             ok = _pairs(size_of, flag, a, b)
             found.append(np.stack([cls[a[ok]], cls[b[ok]]], 1))
-    for g in np.flatnonzero((size > LONG) & ~subset).tolist():
+    for g in np.flatnonzero(long_).tolist():
         rows = np.arange(start[g], start[g] + size[g])
         rows = rows[np.lexsort((cls[rows], size_of[rows]))]
         sizes, hub = size_of[rows], 0
@@ -211,7 +235,7 @@ def _meet(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
             to = int(np.searchsorted(sizes, 5 * sizes[hub] // 4, side="right"))
             found.append(np.stack([np.full(to - hub - 1, cls[rows[hub]]), cls[rows[hub + 1 : to]]], 1))
             hub = to
-        long.append(np.stack([np.full(len(rows), g), cls[rows]], 1))
+        long.append(np.stack([np.full(len(rows), e["key"][start[g]].view(np.int64)), cls[rows]], 1))
     for g in np.flatnonzero((size > 1) & subset).tolist():
         rows = np.arange(start[g], start[g] + size[g])
         lo, hi = size_of[rows].min(), size_of[rows].max()
@@ -226,17 +250,19 @@ def _meet(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return found[found[:, 0] != found[:, 1]], links[links[:, 0] != links[:, 1]], np.concatenate([np.empty((0, 2), np.int64), *long])
 
 
-def _join(docs: DataFrame, light: int, order: Order, make: Sets) -> DataFrame:
-    """kind 0: candidate pairs of classes, kind 1: linked pairs, kind 2: (list, class) of long lists."""
+def _join(docs: DataFrame, light: int, order: Order, make: Sets, by_length: bool) -> DataFrame:
+    """kind 0: candidate pairs of classes, kind 1: pairs that met in a subset, kind 2: (list, class) of long lists.
+    ``by_length``: sets are partitioned by length, with lists of their own; a set scans its own partition and the one
+    before, where the shorter sets that it can link with are."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = shared.value.first
+        first, parts_of = shared.value.first, shared.value.parts
         for whole in batches:
             for _, texts in groups(whole, 0):
                 known: dict[tuple[int, int], int] = {}
-                table, keys, flags = [], [], []
+                table, keys, flags, salts = [], [], [], []
                 for s in make(texts):
                     n = len(s)
                     if not n or (c := _digest(s)) in known:
@@ -246,21 +272,32 @@ def _join(docs: DataFrame, light: int, order: Order, make: Sets) -> DataFrame:
                     k, f = NONE, np.empty(0, np.uint8)
                     if n <= light:
                         k, f = subset_keys(s, light)
+                    salt = np.zeros(len(k), np.uint64)
                     if 5 * n >= 4 * (light + 1):
                         p, i = (scanned(n) if n > light else 0), indexed(n)
                         got = first(s, max(p, i))
                         f2 = np.zeros(len(got), np.uint8)
                         f2[:p] |= SCAN
                         f2[:i] |= INDEX
-                        k, f = np.concatenate([k, got]), np.concatenate([f, f2])
+                        dealt = parts_of(got)
+                        f2[dealt > 1] |= PART
+                        dealt = np.uint64(c[0] % (1 << 63)) % dealt
+                        if by_length:
+                            here = length_parts(n)
+                            before = got[:p] if here else NONE
+                            got = np.concatenate([mixed(got + np.uint64(here)), mixed(before + np.uint64(here - 1) if here else NONE)])
+                            f2 = np.concatenate([f2, f2[: len(before)] & np.uint8(SCAN | PART)])
+                            dealt = np.concatenate([dealt, dealt[: len(before)]])
+                        k, f, salt = np.concatenate([k, got]), np.concatenate([f, f2]), np.concatenate([salt, dealt])
                     keys.append(k)
                     flags.append(f)
+                    salts.append(salt)
                 if not table:
                     continue
                 e = np.empty(sum(map(len, keys)), ENTRY)
                 e["key"], e["flag"] = np.concatenate(keys), np.concatenate(flags)
                 e["cls"] = np.repeat(np.arange(len(table)), [len(k) for k in keys])
-                part = (mixed(e["key"]) % np.uint64(n_parts)).astype(np.int64)
+                part = ((mixed(e["key"]) + np.concatenate(salts)) % np.uint64(n_parts)).astype(np.int64)
                 e = e[np.argsort(part, kind="stable")]
                 table, out = np.array(table, np.int64), []
                 for b, x in enumerate(np.split(e, np.cumsum(np.bincount(part, minlength=n_parts))[:-1])):
@@ -291,11 +328,10 @@ def _join(docs: DataFrame, light: int, order: Order, make: Sets) -> DataFrame:
         t = t[by[new]]
         e["cls"] = one[e["cls"]]
         found, links, long = _meet(e, t[:, 2])
-        place = int(mixed(e["key"][:1])[0] % np.uint64(n_parts)) << 40
         for kind, x in ((0, found), (1, links), (2, long)):
             for at in range(0, len(x), 50_000):
                 a, b = x[at : at + 50_000, 0], x[at : at + 50_000, 1]
-                left = np.stack([a + place, a * 0], 1) if kind == 2 else t[a, :2]
+                left = np.stack([a, a * 0], 1) if kind == 2 else t[a, :2]
                 cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(left[:, 0]), pa.array(left[:, 1]), pa.array(t[b, 0]), pa.array(t[b, 1])]
                 yield pa.RecordBatch.from_arrays(cols, names=["kind", "a1", "a2", "b1", "b2"])
 
@@ -324,25 +360,39 @@ def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, whole: bool, make: Sets) -> DataFrame:
     """id, n and the set (``whole``) or its bit map of the rows with the keys in ``ids`` (id), and of a few others: keys are
-    told by a bit of 2**24, which are broadcast (2 MB), so that no text is shuffled."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 24))
-    told = ids.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m")).collect()
-    bits = np.zeros((512, 4096), np.uint8)
-    for r in told:
-        bits[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    told by a bit of a map of PLACES bits for each, which is broadcast, so that no text is shuffled."""
+    ids = ids.distinct()
+    places = max(1 << 20, 1 << (PLACES * ids.count()).bit_length())
+    rows = docs.filter("doc_id IS NOT NULL").select(row_key().alias("id"), "text")
+    shared = None
+    if places <= MOST_PLACES:
+        place = F.pmod(F.xxhash64("id"), F.lit(places))
+        told = ids.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m")).collect()
+        bits = np.zeros((places // 32768, 4096), np.uint8)
+        for r in told:
+            bits[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
+        shared = docs.sparkSession.sparkContext.broadcast(bits)
+        rows = rows.withColumn("p", place)
+    else:
+        rows = rows.join(ids, "id", "left_semi").withColumn("p", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of repeated rows, one for each partition
         for batch in batches:
-            p = batch.column(2).to_numpy(zero_copy_only=False)
-            chosen = batch.filter(pa.array(shared.value.reshape(-1)[p >> 3] >> (p & 7) & 1 == 1))
+            if shared is not None:
+                p = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(shared.value.reshape(-1)[p >> 3] >> (p & 7) & 1 == 1))
+            fresh = []
+            for i in batch.column(0).to_pylist():
+                fresh.append(i not in seen)
+                seen.add(i)
+            chosen = batch.filter(pa.array(fresh, pa.bool_()))
             if chosen.num_rows:
                 for part, texts in groups(chosen, 1):
                     sets = make(texts)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() if whole else parity(x) for x in sets], pa.binary())], names=["id", "n", "s"])
 
-    rows = docs.filter("doc_id IS NOT NULL").select(row_key().alias("id"), "text")
-    return rows.select("id", "text", place.alias("p")).mapInArrow(lean(run), "id long, n long, s binary")
+    return rows.mapInArrow(lean(run), "id long, n long, s binary")
 
 
 def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -353,12 +403,13 @@ def _likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             keep = [may_link(*x) for x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    maps = maps.dropDuplicates(["id"])
     side = lambda k: maps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, make: Sets) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link, as u, v."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets (id, s) link, as u, v."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,11 +420,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, make: Sets) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    s = written(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), True, make), "sets")
+    s = sets.dropDuplicates(["id"])
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long").toDF("u", "v").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def _placed(found: DataFrame, node: str, component: str) -> DataFrame:
     return found.select(F.col("node").alias(node), F.col("component").alias(component))
 
@@ -395,41 +450,49 @@ def _fits(i: int, others: np.ndarray, n: np.ndarray, maps: list[np.ndarray]) ->
     return ok
 
 
-def _apart(placed: DataFrame, maps: DataFrame, turn: int | None) -> DataFrame:
-    """Pairs (a, b) of members of one list in different components that their maps don't exclude: all of them, or those
-    with HUBS members of the list's largest component, others each ``turn``. Long lists are handled in pairs of blocks."""
-    lists = placed.groupBy("list").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("list", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    inside = placed.join(lists, "list")
+def _mains(placed: DataFrame) -> DataFrame:
+    """Members of lists with several components: list, id, n, c, and the list's largest component, main."""
+    sizes = placed.groupBy("list", "c").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("list", F.col("m.c").alias("main"))
+    return placed.join(main, "list")
+
+
+def _with_hubs(inside: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of HUBS members of a list's largest component, others each ``turn``, with all members outside it."""
+    rank = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("id"), "id"))
+    ranked = inside.filter("c = main").withColumn("r", rank).filter(F.col("r") <= (turn + 1) * HUBS)
+    hubs = ranked.filter(F.col("r") > turn * HUBS).select("list", F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = inside.filter("c <> main").select("list", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    both = others.join(hubs, ["list", "salt"])
+    return both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _outside(inside: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a member outside the list's largest component and any member of another component that their maps
+    don't exclude. Both sides are cut into blocks; each block of one meets each block of the other."""
+    counts = inside.groupBy("list").agg(F.count("*").alias("k"), F.count_if(F.col("c") != F.col("main")).alias("out"))
+    counts = counts.select("list", F.ceil(F.col("out") / BLOCK).cast("int").alias("ln"), F.ceil(F.col("k") / BLOCK).cast("int").alias("rn"))
     all_of = inside.groupBy("id").agg(F.sort_array(F.collect_list("list")).alias("ls"))
-    rows = inside.join(all_of, "id").join(maps.select("id", "s").dropDuplicates(["id"]), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "c", "s", "ls")
-
-    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
-        ids, n, c, block = (t[k].to_numpy() for k in ("id", "n", "c", "own"))
-        bits = [np.frombuffer(x, np.uint8) for x in t["s"]]
-        known, at = np.unique(np.concatenate(list(t["ls"])), return_inverse=True)
-        member = np.zeros((len(t), len(known)), bool)
-        member[np.repeat(np.arange(len(t)), t["ls"].map(len)), at] = True
-        here = int(np.searchsorted(known, key[0]))
-        kinds, counts = np.unique(c, return_counts=True)
-        main = c == kinds[counts.argmax()]
-        both = key[1] == key[2]
-        order = np.argsort(mixed(ids.astype(np.uint64)), kind="stable")
-        picked = np.flatnonzero(~main) if turn is None else order[main[order]][turn * HUBS : (turn + 1) * HUBS]
-        out = []
-        for i in picked.tolist():
-            others = np.flatnonzero((c != c[i]) & ((block != block[i]) | both))
-            if turn is None:
-                others = others[main[others] | (others > i)]
-            others = others[(member[others] & member[i]).argmax(1) == here]  # a pair is taken in the first list that it shares
-            others = others[_fits(i, others, n, bits)]
-            out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[others]), "b": np.maximum(ids[i], ids[others])}))
-        return pd.concat([none, *out]).drop_duplicates()
-
-    return rows.groupBy("list", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    rows = inside.join(counts, "list").join(all_of, "id").join(maps.select("id", "s").dropDuplicates(["id"]), "id")
+    own, each = (lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+    some = rows.filter("c <> main").withColumn("l", own("ln")).withColumn("r", each("rn")).select("list", "l", "r", "id", "n", "c", "s", "ls")
+    others = rows.withColumn("r", own("rn")).withColumn("l", each("ln")).select("list", "l", "r", "id", "n", "c", "s", "ls")
+
+    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
+        t = pd.concat([x, y], ignore_index=True)
+        ids, n, c = (t[k].to_numpy() for k in ("id", "n", "c"))
+        bits, lists = [np.frombuffer(s, np.uint8) for s in t["s"]], list(t["ls"])
+        for i in range(len(x) if len(y) else 0):
+            found = len(x) + np.flatnonzero(c[len(x) :] != c[i])
+            found = found[_fits(i, found, n, bits)]
+            # a pair is taken in the first list that it shares
+            found = np.array([j for j in found if np.intersect1d(lists[i], lists[j], assume_unique=True)[0] == key[0]], np.int64)
+            out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[found]), "b": np.maximum(ids[i], ids[found])}))
+        return pd.concat(out).drop_duplicates()
+
+    keys = ["list", "l", "r"]
+    return some.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(run, "a long, b long").distinct()
 
 
 def _of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -442,57 +505,67 @@ def _of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return both.join(first, ["u1", "u2"]).join(classes.select("c1", "c2", F.col("node").alias("v")), ["c1", "c2"]).select("u", "v")
 
 
-def _grouped(docs: DataFrame, make: Sets, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, make: Sets, by_id: bool, by_length: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, row, n, c1, c2), classes (c1, c2, node, rep, n) and the component of each node that has links (node,
-    component). ``by_id``: the texts of one doc_id are linked with each other."""
-    spark = docs.sparkSession
+    component). ``by_id``: the texts of one doc_id are linked with each other. ``by_length``: all sets are compared in
+    partitions by length, none by subsets."""
     seen = written(_sizes(docs, make), "sizes")
     rows = seen.filter("kind = 0").select("doc_id", "row", "n", "c1", "c2")
     often = seen.filter("kind = 1").groupBy("c1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c1").limit(LAST).toPandas()
     order = Order(often["c1"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64))
     classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
-    counts = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    light = boundary(counts)
-    met = written(_join(docs, light, order, make), "met")
+    light = 0
+    if not by_length:
+        light = boundary({r["n"]: r["c"] for r in classes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()})
+    met = written(_join(docs, light, order, make, by_length), "met")
     of = lambda side: classes.select(F.col("c1").alias(f"{side}1"), F.col("c2").alias(f"{side}2"), F.col("node").alias(side), F.col("n").alias(f"n_{side}"))
     named = met.filter("kind < 2").join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"])
     pairs = written(named.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind")), "pairs")
-    sure = pairs.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    lists = written(met.filter("kind = 2").select(F.col("a1").alias("list"), "b1", "b2").join(of("b"), ["b1", "b2"]).select("list", F.col("b").alias("id"), F.col("n_b").alias("n")).distinct(), "lists")
+    erase(met)
+    maps = written(_sets_of(docs, _ends(pairs).unionByName(lists.select("id")), False, make), "maps")
+    likely = written(_likely(pairs.select("a", "b"), maps), "likely")
+    sets = written(_sets_of(docs, _ends(likely), True, make), "sets")
+    held = [sets]
+    # one candidate of each class and those that met in a subset first; of the rest, only those that are still apart
+    met_in_subset = pairs.filter("kind = 1").select("a", "b").join(likely, ["a", "b"], "left_semi")
+    first = written(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(met_in_subset).distinct(), "first")
+    links = [written(_verified(first, sets), "links")]
     if by_id:
-        sure = sure.unionByName(_of_ids(rows, classes))
-    lists = written(met.filter("kind = 2").select(F.col("a1").alias("list"), "b1", "b2").join(of("b"), ["b1", "b2"]).select("list", F.col("b").alias("id"), F.col("n_b").alias("n")), "lists")
-    open_ = pairs.filter("kind = 0").select("a", "b")
-    maps = written(_sets_of(docs, open_.select(F.explode(F.array("a", "b")).alias("id")).unionByName(lists.select("id")), False, make), "maps")
-    likely = written(_likely(open_, maps), "likely")
-    # one candidate of each class first; of the rest, only those that are still apart
-    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(sure.unionByName(_verified(docs, first, make)), "links")
-    found = components(links)
+        links.append(written(_of_ids(rows, classes), "links"))
+    whole = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(whole(parts[1:]))
+    found = components(whole(links))
     apart = lambda df: df.join(_placed(found, "a", "ca"), "a", "left").join(_placed(found, "b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     rest = written(apart(likely).join(first, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = links.unionByName(written(_verified(docs, rest, make), "links"))
-        found = components(links)
-    tried = first.unionByName(rest)
+        links.append(written(_verified(rest, sets), "links"))
+        found = components(whole(links))
+    tried = [first, rest]
     turns: list[int | None] = [*range(ROUNDS), None] if lists.limit(1).count() else []
     while turns:
         turn = turns.pop(0)
         placed = lists.join(_placed(found, "id", "c"), "id", "left").select("list", "id", "n", F.coalesce("c", "id").alias("c"))
-        more = written(_apart(placed, maps, turn).join(tried, ["a", "b"], "left_anti"), "more")
+        inside = written(_mains(placed), "inside")
+        asked = _outside(inside, maps) if turn is None else _likely(_with_hubs(inside, turn), maps)
+        more = written(asked.join(whole(tried), ["a", "b"], "left_anti"), "more")
+        erase(inside)
         count = more.count()
+        tried.append(more)
         if count:
-            tried = tried.unionByName(more)
-            links = links.unionByName(written(_verified(docs, more, make), "links"))
-            found = components(links)
+            new = _ends(more).distinct().join(whole(held).select("id"), "id", "left_anti")
+            held.append(written(_sets_of(docs, new, True, make), "sets"))
+            links.append(written(_verified(more, whole(held)), "links"))
+            found = components(whole(links))
         if turns and count < FEW:
             turns = [None]  # the last pass takes all pairs that are left
+    erase(pairs, lists, maps, likely, *held, *links, *tried)
     return rows, classes, found
 
 
-def join(docs: DataFrame, make: Sets = word_shingles) -> DataFrame:
+def join(docs: DataFrame, make: Sets = word_shingles, by_length: bool = False) -> DataFrame:
     """doc_id, n_shingles (the size of its set) and component_id (the smallest doc_id that links reach) of each document.
-    ``make``: what the sets are of."""
-    rows, classes, found = _grouped(docs, make, True)
+    ``make``: what the sets are of; ``by_length``: compare them in partitions by length."""
+    rows, classes, found = _grouped(docs, make, True, by_length)
     linked = written(classes.join(found, "node").select("c1", "c2", "rep", "component"), "linked")
     least = written(linked.groupBy("component").agg(F.min("rep").alias("least")), "least")
     group = classes.select("c1", "c2", "rep").join(linked.join(least, "component").select("c1", "c2", "least"), ["c1", "c2"], "left")

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a temporary one."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one, but only for a master that is local."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -48,7 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs don't repeat it, and a lost executor loses none of it."""
     path = f"{shared_dir(df.sparkSession)}/tallyloom-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +101,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("l").alias("old"), F.least("l", "near").alias("l"))
         ahead = labels.select(F.col("node").alias("l"), F.col("l").alias("ahead"))
         new = written(step.join(ahead, "l").select("node", "old", F.least("l", "ahead").alias("l")), "labels")
-        done = new.filter("old <> l").limit(1).count() == 0
-        labels = new.select("node", "l")
-        if done:
+        erase(labels)
+        labels = new
+        if new.filter("old <> l").limit(1).count() == 0:
+            erase(e, both)
             return labels.select("node", F.col("l").alias("component"))
