@@ -62,7 +62,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.with_next(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spotsigs.fingerprint(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,13 @@ fingerprints are as alike as the Jaccard similarity of their sets.
 A text without any such chain has the chains of three neighbouring words instead, or else its whole sequence of words,
 or else its bytes, as one signature; so no fingerprint is empty and equal texts have equal ones.
 
-Defined cases: null texts are empty; null ids come first; rows of one id follow the order of their texts' hashes; the
-only row of a table is its own next document; empty tables give empty results; further columns are ignored.
+Fingerprints that are alike from 0.8 on are grouped: sets are partitioned by length so that partners stand in the same partition
+or the next, each partition has inverted lists of the rarest signatures of its sets, and sets that meet in one are compared
+if neither their lengths nor maps of their signatures exclude it (``near_duplicates``).
+
+Defined cases: null texts are empty; very long texts have all their signatures; null ids come first and have no group; rows
+of one id follow the order of their texts' hashes and are in one group; repeated rows are each in the result; the only row of a
+table is its own next document; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,12 +91,14 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
+    return [f.astype(np.uint64) for f in fingerprints(texts)]
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_signatures and component_id of each document: fingerprints link from a likeness of 0.8 on. Sets meet only
-    those of fitting length in the lists of their rarest signatures, and are compared once maps of their signatures and
-    their lengths don't exclude a link."""
-    found = join(docs, lambda texts: [f.astype(np.uint64) for f in fingerprints(texts)])
-    return found.withColumnRenamed("n_shingles", "n_signatures")
+    """doc_id, n_signatures and component_id (the smallest doc_id that links reach) of each document; fingerprints link from
+    a likeness of 0.8 on."""
+    return join(docs, _sets, by_length=True).withColumnRenamed("n_shingles", "n_signatures")
 
 
 def as_text(sigs: np.ndarray) -> str:
@@ -104,14 +111,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, component_id long"
+SENT = "part int, ahead boolean, doc_id long, k long, text boolean, tie long, packed binary"
+
 
+def fingerprint(docs: DataFrame) -> DataFrame:
+    """``with_next`` with each document's group of near duplicates among all documents."""
+    return with_next(docs, near_duplicates(docs))
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all documents and of their texts edited with the next document's.
+
+def with_next(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Fingerprints of all documents and of their texts edited with the next document's; component_id from ``groups``
+    (doc_id, component_id), if given.
 
     Rows are dealt into ranges of doc_id that start at ids that occur, so the first row of a range is known; it is sent
-    to the range before as well, as that range's last next document. Texts move once, compressed."""
+    to the range before as well, as that range's last next document. Texts move once, compressed. Groups are dealt alike, a row
+    for each id before its texts."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
@@ -135,35 +150,47 @@ def with_next(docs: DataFrame) -> DataFrame:
                 for index, to, flag in ((np.arange(len(keys)), part, False), (again, ahead[again], True)):
                     if len(index):
                         take = pa.array(index)
-                        yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(index), flag)), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), texts.take(take)], names=["part", "ahead", "doc_id", "k", "tie", "packed"])
+                        cols = [pa.array(to.astype(np.int32)), pa.array(np.full(len(index), flag)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(index), True)), batch.column(2).take(take), texts.take(take)]
+                        yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SENT.split(", ")])
+
+    def send_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ids = batch.num_rows, batch.column(0)
+            part = np.searchsorted(starts, ids.to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+            no = pa.array(np.full(n, False))
+            yield pa.RecordBatch.from_arrays([pa.array(part), no, ids, ids, no, batch.column(1), pa.nulls(n, pa.binary())], names=[c.split()[0] for c in SENT.split(", ")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        held: list[tuple[int | None, str]] = []  # each but the last has its next document behind it
-        size, carried = 0, None
+        held: list[tuple[int | None, str, int | None]] = []  # each but the last has its next document behind it
+        size, group = 0, (None, None)
 
         def flush(closing: str | None):
-            nonlocal size, carried
-            texts = [t for _, t in held]
+            nonlocal size
+            texts = [t for _, t, _ in held]
             nexts = texts[1:] + ([closing] if closing is not None else [])
             done = held[: len(nexts)]
-            changed = [edited(t, x).encode() for (_, t), x in zip(done, nexts)]
+            changed = [edited(t, x).encode() for (_, t, _), x in zip(done, nexts)]
             own = fingerprints([t.encode() for t in (texts if closing is None else texts + [closing])])
             theirs = fingerprints(changed)
             cols = [
-                pa.array([i for i, _ in done], pa.int64()), pa.array([len(t) for _, t in done], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
+                pa.array([i for i, _, _ in done], pa.int64()), pa.array([len(t) for _, t, _ in done], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
                 pa.array([as_text(f) for f in own[: len(done)]], pa.string()), pa.array([as_text(f) for f in theirs], pa.string()),
                 pa.array([likeness(f, g) for f, g in zip(own, theirs)], pa.float64()), pa.array([likeness(f, g) for f, g in zip(own, own[1:])][: len(done)], pa.float64()),
+                pa.array([len(f) for f in own[: len(done)]], pa.int64()), pa.array([g for _, _, g in done], pa.int64()),
             ]
             del held[: len(done)]
-            size = sum(len(t) for _, t in held)
+            size = sum(len(t) for _, t, _ in held)
             return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         part = None
         for batch in batches:
-            for p, ahead, i, packed in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 5))):
+            for p, ahead, i, text, tie, packed in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6))):
+                if not text:
+                    group = (i, tie)
+                    continue
                 text = unpack(packed).decode()
                 if ahead:
                     if held and p == part:
@@ -172,11 +199,14 @@ def with_next(docs: DataFrame) -> DataFrame:
                     size = 0
                     continue
                 part = p
-                held.append((i, text))
+                held.append((i, text, group[1] if i is not None and i == group[0] else None))
                 size += len(text)
                 if size > BYTES_AT_ONCE and len(held) > 1:
                     yield flush(None)
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), F.xxhash64("text").alias("tie"), "text").mapInArrow(lean(send), "part int, ahead boolean, doc_id long, k long, tie long, packed binary")
-    dealt = sent.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions("part", "ahead", "k", "tie")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), F.xxhash64("text").alias("tie"), "text").mapInArrow(lean(send), SENT)
+    if groups is not None:
+        ids = groups.filter("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
+        sent = sent.unionByName(ids.mapInArrow(lean(send_groups), SENT))
+    dealt = sent.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions("part", "ahead", "k", "text", "tie")
     return dealt.mapInArrow(lean(compare), SCHEMA)
