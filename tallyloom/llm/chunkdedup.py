@@ -5,12 +5,15 @@ bytes on either side and a character starts, so that boundaries follow from the
 them. Chunks are compared by a 128-bit digest; of all occurrences of a digest the first in the order of doc_id and place
 stays. Repeated chunks go where a run of neighbouring ones has at least MIN_RUN bytes.
 
-Equal chunks within a batch are resolved where they are read, so that a digest that a third of the rows hold is sent
-on once for each batch only. Digests then meet by their hash; repeated places are sent back to their documents.
-
-Defined cases: null texts stay null; empty texts stay empty; a text that repeats earlier ones throughout becomes empty;
-rows that repeat one another in doc_id and text count as one and keep what it keeps; null ids come first; bytes without
-any boundary are cut every MAX_CHUNK bytes; input columns that have the names of added ones are replaced.
+Equal chunks within a batch are resolved where they are read. Digests that repeat there are remembered for the rest of the
+partition, so that a digest that a third of the rows hold is sent on about once for each partition only. Digests then meet
+by their hash; repeated places are sent back to their documents.
+
+Defined cases: null texts stay null; empty texts stay empty; a text that repeats earlier ones throughout becomes empty; very
+long texts are hashed in segments, with the same boundaries; rows that repeat one another in doc_id and text count as one and
+keep what it keeps; of equal doc_ids the smaller hash of id and text comes first; null ids come first; bytes without any
+boundary are cut every MAX_CHUNK bytes; an empty table gives an empty result; input columns that have the names of added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -100,6 +103,29 @@ def _firsts(h1: np.ndarray, h2: np.ndarray, *order: np.ndarray) -> np.ndarray:
     return out
 
 
+class Seen:
+    """The first place sent so far of digests that repeat, in a table of fixed size; a digest takes the place of another one
+    with the same slot."""
+
+    SLOTS = 1 << 16
+
+    def __init__(self):
+        self.at = np.zeros(self.SLOTS, [("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("row", "<i8"), ("ord", "<i8")])
+        self.at["id"] = np.iinfo(np.int64).max
+
+    def later(self, e: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which entries (one for each digest) come after the place that is known of their digest."""
+        known = self.at[(e["h1"] & np.uint64(self.SLOTS - 1)).astype(np.int64)]
+        id_, row, ord_ = ids[e["doc"]], rows[e["doc"]], e["ord"]
+        after = (id_ > known["id"]) | (id_ == known["id"]) & ((row > known["row"]) | (row == known["row"]) & (ord_ > known["ord"]))
+        return (known["h1"] == e["h1"]) & (known["h2"] == e["h2"]) & after
+
+    def add(self, e: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        new = np.empty(len(e), self.at.dtype)
+        new["h1"], new["h2"], new["id"], new["row"], new["ord"] = e["h1"], e["h2"], ids[e["doc"]], rows[e["doc"]], e["ord"]
+        self.at[(e["h1"] & np.uint64(self.SLOTS - 1)).astype(np.int64)] = new
+
+
 def _mark_rows(ids: np.ndarray, rows: np.ndarray, ords: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(doc_id, row key, places) of each document."""
     by = np.lexsort((ords, rows, ids))
@@ -118,12 +144,13 @@ def marks(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for whole in batches:
             for part, texts in groups(whole, 2, TOGETHER):
                 ids, rows = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 order = np.lexsort((rows, ids))
                 keep = order[np.append(True, (ids[order][1:] != ids[order][:-1]) | (rows[order][1:] != rows[order][:-1]))]  # repeated rows once
-                ids, rows, out = ids[keep], rows[keep], []
+                ids, rows = ids[keep], rows[keep]
                 found, owner, place = [], [], []
                 for d, i in enumerate(keep.tolist()):
                     if texts[i]:
@@ -138,6 +165,11 @@ def marks(docs: DataFrame) -> DataFrame:
                 e["h1"], e["h2"], e["doc"], e["ord"] = pair[:, 0], pair[:, 1], np.concatenate(owner), np.concatenate(place)
                 first = _firsts(e["h1"], e["h2"], e["doc"], e["ord"])
                 again, e = e[~first], e[first]
+                late = seen.later(e, ids, rows)
+                repeated = np.isin(e["h1"], again["h1"]) & ~late
+                again, sent = np.concatenate([again, e[late]]), e[~late]
+                seen.add(e[repeated], ids, rows)
+                e = sent
                 out = [(r % n, i, r, None, x) for i, r, x in _mark_rows(ids[again["doc"]], rows[again["doc"]], again["ord"])]
                 bucket = (e["h1"] % np.uint64(n)).astype(np.int64)
                 e = e[np.argsort(bucket, kind="stable")]

@@ -200,22 +200,56 @@ def test_long_texts_are_cut_alike(monkeypatch):
 
 def brute_dedup(docs):
     """Kept text of each (doc_id, text), by walking all chunks in order."""
-    chunks = {k: (k[1].encode(), C.cuts(k[1].encode())) for k in set(docs) if k[1]}
+    chunks = {k: (k[1].encode(), np.array(plain_cuts(k[1].encode()))) for k in set(docs) if k[1]}
     seen, out = set(), {}
     for k in sorted(chunks, key=lambda k: (k[0], KEY[k])):
         raw, at = chunks[k]
         again = []
-        for n, d in enumerate(C.digests(raw, at)):
-            again += [n] if d in seen else []
-            seen.add(d)
-        gone = C.removed(at, np.array(again, int))
-        out[k] = b"".join(raw[a:b] for a, b, g in zip(at[:-1], at[1:], gone) if not g).decode()
+        for n, (a, b) in enumerate(zip(at, at[1:])):
+            again += [n] if raw[a:b] in seen else []
+            seen.add(raw[a:b])
+        runs, kept = [], set(range(len(at) - 1))
+        for n in again:  # runs of neighbouring repeated chunks
+            runs = [*runs[:-1], [*runs[-1], n]] if runs and runs[-1][-1] == n - 1 else [*runs, [n]]
+        for r in runs:
+            kept -= set(r) if at[r[-1] + 1] - at[r[0]] >= C.MIN_RUN else set()
+        out[k] = b"".join(raw[at[n] : at[n + 1]] for n in sorted(kept)).decode()
     return out
 
 
 KEY: dict = {}
 
 
+def plain_cuts(text):
+    """Chunk starts by the definition, byte by byte: the smallest hash within RADIUS on either side, the first of equal ones
+    on the left side, where a character starts; longer chunks are cut every MAX_CHUNK bytes."""
+    gear, m = [int(x) for x in C.GEAR], 2**64
+    h = [sum(gear[text[i - k]] << k for k in range(min(C.WINDOW, i + 1))) * int(C.SCRAMBLE) % m for i in range(len(text))]
+    h = [m - 1 if text[i] & 0xC0 == 0x80 else x for i, x in enumerate(h)]
+    at = lambda i: h[i] if 0 <= i < len(h) else m - 1
+    out = [0] + [i for i in range(1, len(h)) if all(h[i] < at(i - k) for k in range(1, C.RADIUS + 1)) and all(h[i] <= at(i + k) for k in range(1, C.RADIUS + 1))] + [len(text)]
+    cut = sorted({*out, *(p for a, b in zip(out, out[1:]) for p in range(a + C.MAX_CHUNK, b, C.MAX_CHUNK))})
+    return [next((q for q in range(p, p - 4, -1) if q == len(text) or q >= 0 and text[q] & 0xC0 != 0x80), p) for p in cut]
+
+
+def test_cuts_by_the_definition():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc de,\nö日"), 900)), "x" * 2500, "short", "", "ab" * 700 + "the end of it"]
+    for t in texts:
+        raw = t.encode()
+        assert sorted(set(C.cuts(raw).tolist())) == sorted(set(plain_cuts(raw)))
+
+
+def test_repeated_digests_are_remembered():
+    seen, e = C.Seen(), np.zeros(3, C.ENTRY)
+    e["h1"], e["h2"], e["doc"], e["ord"] = [5, 6, 5 + C.Seen.SLOTS], [1, 1, 1], [0, 1, 2], [3, 0, 0]
+    ids, rows = np.array([10, 20, 30]), np.array([7, 7, 7])
+    assert not seen.later(e, ids, rows).any()
+    seen.add(e[:2], ids, rows)
+    assert seen.later(e, ids, rows).tolist() == [False, False, False]  # the same place, and another digest of the same slot
+    assert seen.later(e, ids + 1, rows).tolist() == [True, True, False] and not seen.later(e, ids - 1, rows).any()
+
+
 @pytest.mark.parametrize("together", [8 << 20, 3000])
 def test_dedup_against_brute_force(make, monkeypatch, together):
     monkeypatch.setattr(C, "TOGETHER", together)
