@@ -475,12 +475,13 @@ def _outside(inside: DataFrame, maps: DataFrame) -> DataFrame:
     all_of = inside.groupBy("id").agg(F.sort_array(F.collect_list("list")).alias("ls"))
     rows = inside.join(counts, "list").join(all_of, "id").join(maps.select("id", "s").dropDuplicates(["id"]), "id")
     own, each = (lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
-    some = rows.filter("c <> main").withColumn("l", own("ln")).withColumn("r", each("rn")).select("list", "l", "r", "id", "n", "c", "s", "ls")
-    others = rows.withColumn("r", own("rn")).withColumn("l", each("ln")).select("list", "l", "r", "id", "n", "c", "s", "ls")
+    names = ["list", "l", "r", "id", "n", "c", "s", "ls"]
+    some = rows.filter("c <> main").withColumn("l", own("ln")).withColumn("r", each("rn")).select(*names)
+    others = rows.withColumn("r", own("rn")).withColumn("l", each("ln")).select(*names).toDF(*[f"other_{k}" for k in names])
 
     def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
-        t = pd.concat([x, y], ignore_index=True)
+        t = pd.concat([x, y.set_axis(names, axis=1)], ignore_index=True)
         ids, n, c = (t[k].to_numpy() for k in ("id", "n", "c"))
         bits, lists = [np.frombuffer(s, np.uint8) for s in t["s"]], list(t["ls"])
         for i in range(len(x) if len(y) else 0):
@@ -491,8 +492,8 @@ def _outside(inside: DataFrame, maps: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[found]), "b": np.maximum(ids[i], ids[found])}))
         return pd.concat(out).drop_duplicates()
 
-    keys = ["list", "l", "r"]
-    return some.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(run, "a long, b long").distinct()
+    theirs = others.groupBy("other_list", "other_l", "other_r")
+    return some.groupBy("list", "l", "r").cogroup(theirs).applyInPandas(run, "a long, b long").distinct()
 
 
 def _of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
