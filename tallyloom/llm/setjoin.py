@@ -560,6 +560,9 @@ def _grouped(docs: DataFrame, make: Sets, by_id: bool, by_length: bool = False)
         if turns and count < FEW:
             turns = [None]  # the last pass takes all pairs that are left
     erase(pairs, lists, maps, likely, *held, *links, *tried)
+    spark = docs.sparkSession
+    del named, often
+    spark._jvm.System.gc()  # lets the context's cleaner delete the shuffles of the jobs that are done
     return rows, classes, found
 
 
