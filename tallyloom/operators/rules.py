@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_or_null, let, record, texts
+from ..functions.columns import texts
 from ..functions.similarity import ratio
 from ..functions.text import canon_of, display_name, name_words, narration
 from ..schema import CREDIT, DEBIT, EITHER
@@ -102,36 +102,106 @@ def _cheque(words: Column, numbers: Column, holder: Column) -> Column:
 
 
 PHONEPE = "Sundry Receipts - PhonePe Aggregator"
-# The rules of the default pack, in order of priority: id, category, words, direction.
-_DEFAULT = """
-reversal.rev Y rev EITHER; reversal.reversal Y reversal EITHER; reversal.reversed Y reversed EITHER; reversal.refund Y refund EITHER; reversal.returned Y returned EITHER;
-tax.cbdt P cbdt DEBIT; tax.itns P itns DEBIT; tax.gstn P gstn DEBIT; tax.tds P tds DEBIT; tax.advance P advance+tax DEBIT; tax.refund Q refund+tax CREDIT;
-interest.credited D interest CREDIT; interest.debited E interest DEBIT; interest.collected E int+coll DEBIT;
-charges.gst C gst DEBIT; charges.charges C charges DEBIT; charges.charge C charge DEBIT; charges.chrg C chrg DEBIT; charges.fees C fees DEBIT; charges.fee C fee DEBIT;
-charges.commission C commission DEBIT; charges.penalty C penalty DEBIT; charges.sms C sms+alert DEBIT; charges.min-balance C min+bal DEBIT; charges.amb C amb DEBIT;
-cash.deposit S cash+dep CREDIT; cash.deposit-long S cash+deposit CREDIT; cash.cdm S cdm CREDIT;
-atm.atm R atm DEBIT; atm.nwd R nwd DEBIT; atm.cash-withdrawal R cash+wdl DEBIT; atm.cash-withdrawal-long R cash+withdrawal DEBIT;
-salary.salary M salary CREDIT; salary.sal M sal CREDIT; rent.rent N rent EITHER;
-loan.emi O emi DEBIT; loan.repayment O loan+repay DEBIT; loan.instalment O loan+instalment DEBIT;
-utility.electricity V electricity DEBIT; utility.bill V bill+pay DEBIT; utility.broadband V broadband DEBIT; utility.recharge V recharge DEBIT;
-insurance.claim I insurance+claim CREDIT; insurance.premium J premium DEBIT; insurance.insurance J insurance DEBIT; insurance.lic J lic DEBIT;
-mf.redemption K redemption CREDIT; mf.sip L sip DEBIT; mf.mutual-fund L mutual+fund DEBIT;
-card.credit-card W credit+card DEBIT; card.cc-payment W cc+pmt DEBIT;
-subsidy.subsidy G subsidy CREDIT; subsidy.dbt G dbt CREDIT; pension.pension H pension CREDIT; income.dividend X dividend CREDIT;
-deposit.term Z term+deposit EITHER; deposit.recurring Z recurring+deposit EITHER; deposit.fixed Z fixed+deposit EITHER;
-cheque.in U1 chq CREDIT; cheque.in-long U1 cheque CREDIT; cheque.clearing-in U1 clg CREDIT; cheque.out U2 chq DEBIT; cheque.out-long U2 cheque DEBIT; cheque.clearing-out U2 clg DEBIT;
-cheque.bare-number U1 - CREDIT; neft.phonepe NEFT_IN neft+phonepe CREDIT; imps.phonepe IMPS_IN imps+phonepe CREDIT;
-upi.in T1 upi CREDIT; upi.out T2 upi DEBIT; neft.in NEFT_IN neft CREDIT; neft.out NEFT_OUT neft DEBIT; rtgs.in RTGS_IN rtgs CREDIT; rtgs.out RTGS_OUT rtgs DEBIT; imps.in IMPS_IN imps CREDIT; imps.out IMPS_OUT imps DEBIT
-"""
-_SPECIAL = {"cheque.bare-number": {"review": True, "predicate": "bare_cheque_number", "words": ()}, "neft.phonepe": {"ledger": PHONEPE}, "imps.phonepe": {"ledger": PHONEPE}}
+# The rules of the default pack, in order of priority: id, category, words, direction, ledger, review, predicate.
+DEFAULT_PACK = [
+    Rule("self.holder-name", "F", (), EITHER, None, True, "holder_name"),
+    Rule("reversal.rev", "Y", ("rev",), EITHER, None, False, None),
+    Rule("reversal.reversal", "Y", ("reversal",), EITHER, None, False, None),
+    Rule("reversal.reversed", "Y", ("reversed",), EITHER, None, False, None),
+    Rule("reversal.refund", "Y", ("refund",), EITHER, None, False, None),
+    Rule("reversal.returned", "Y", ("returned",), EITHER, None, False, None),
+    Rule("tax.cbdt", "P", ("cbdt",), DEBIT, None, False, None),
+    Rule("tax.itns", "P", ("itns",), DEBIT, None, False, None),
+    Rule("tax.gstn", "P", ("gstn",), DEBIT, None, False, None),
+    Rule("tax.tds", "P", ("tds",), DEBIT, None, False, None),
+    Rule("tax.advance", "P", ("advance", "tax"), DEBIT, None, False, None),
+    Rule("tax.refund", "Q", ("refund", "tax"), CREDIT, None, False, None),
+    Rule("interest.credited", "D", ("interest",), CREDIT, None, False, None),
+    Rule("interest.debited", "E", ("interest",), DEBIT, None, False, None),
+    Rule("interest.collected", "E", ("int", "coll"), DEBIT, None, False, None),
+    Rule("charges.gst", "C", ("gst",), DEBIT, None, False, None),
+    Rule("charges.charges", "C", ("charges",), DEBIT, None, False, None),
+    Rule("charges.charge", "C", ("charge",), DEBIT, None, False, None),
+    Rule("charges.chrg", "C", ("chrg",), DEBIT, None, False, None),
+    Rule("charges.fees", "C", ("fees",), DEBIT, None, False, None),
+    Rule("charges.fee", "C", ("fee",), DEBIT, None, False, None),
+    Rule("charges.commission", "C", ("commission",), DEBIT, None, False, None),
+    Rule("charges.penalty", "C", ("penalty",), DEBIT, None, False, None),
+    Rule("charges.sms", "C", ("sms", "alert"), DEBIT, None, False, None),
+    Rule("charges.min-balance", "C", ("min", "bal"), DEBIT, None, False, None),
+    Rule("charges.amb", "C", ("amb",), DEBIT, None, False, None),
+    Rule("cash.deposit", "S", ("cash", "dep"), CREDIT, None, False, None),
+    Rule("cash.deposit-long", "S", ("cash", "deposit"), CREDIT, None, False, None),
+    Rule("cash.cdm", "S", ("cdm",), CREDIT, None, False, None),
+    Rule("atm.atm", "R", ("atm",), DEBIT, None, False, None),
+    Rule("atm.nwd", "R", ("nwd",), DEBIT, None, False, None),
+    Rule("atm.cash-withdrawal", "R", ("cash", "wdl"), DEBIT, None, False, None),
+    Rule("atm.cash-withdrawal-long", "R", ("cash", "withdrawal"), DEBIT, None, False, None),
+    Rule("salary.salary", "M", ("salary",), CREDIT, None, False, None),
+    Rule("salary.sal", "M", ("sal",), CREDIT, None, False, None),
+    Rule("rent.rent", "N", ("rent",), EITHER, None, False, None),
+    Rule("loan.emi", "O", ("emi",), DEBIT, None, False, None),
+    Rule("loan.repayment", "O", ("loan", "repay"), DEBIT, None, False, None),
+    Rule("loan.instalment", "O", ("loan", "instalment"), DEBIT, None, False, None),
+    Rule("utility.electricity", "V", ("electricity",), DEBIT, None, False, None),
+    Rule("utility.bill", "V", ("bill", "pay"), DEBIT, None, False, None),
+    Rule("utility.broadband", "V", ("broadband",), DEBIT, None, False, None),
+    Rule("utility.recharge", "V", ("recharge",), DEBIT, None, False, None),
+    Rule("insurance.claim", "I", ("insurance", "claim"), CREDIT, None, False, None),
+    Rule("insurance.premium", "J", ("premium",), DEBIT, None, False, None),
+    Rule("insurance.insurance", "J", ("insurance",), DEBIT, None, False, None),
+    Rule("insurance.lic", "J", ("lic",), DEBIT, None, False, None),
+    Rule("mf.redemption", "K", ("redemption",), CREDIT, None, False, None),
+    Rule("mf.sip", "L", ("sip",), DEBIT, None, False, None),
+    Rule("mf.mutual-fund", "L", ("mutual", "fund"), DEBIT, None, False, None),
+    Rule("card.credit-card", "W", ("credit", "card"), DEBIT, None, False, None),
+    Rule("card.cc-payment", "W", ("cc", "pmt"), DEBIT, None, False, None),
+    Rule("subsidy.subsidy", "G", ("subsidy",), CREDIT, None, False, None),
+    Rule("subsidy.dbt", "G", ("dbt",), CREDIT, None, False, None),
+    Rule("pension.pension", "H", ("pension",), CREDIT, None, False, None),
+    Rule("income.dividend", "X", ("dividend",), CREDIT, None, False, None),
+    Rule("deposit.term", "Z", ("term", "deposit"), EITHER, None, False, None),
+    Rule("deposit.recurring", "Z", ("recurring", "deposit"), EITHER, None, False, None),
+    Rule("deposit.fixed", "Z", ("fixed", "deposit"), EITHER, None, False, None),
+    Rule("cheque.in", "U1", ("chq",), CREDIT, None, False, None),
+    Rule("cheque.in-long", "U1", ("cheque",), CREDIT, None, False, None),
+    Rule("cheque.clearing-in", "U1", ("clg",), CREDIT, None, False, None),
+    Rule("cheque.out", "U2", ("chq",), DEBIT, None, False, None),
+    Rule("cheque.out-long", "U2", ("cheque",), DEBIT, None, False, None),
+    Rule("cheque.clearing-out", "U2", ("clg",), DEBIT, None, False, None),
+    Rule("cheque.bare-number", "U1", (), CREDIT, None, True, "bare_cheque_number"),
+    Rule("neft.phonepe", "NEFT_IN", ("neft", "phonepe"), CREDIT, PHONEPE, False, None),
+    Rule("imps.phonepe", "IMPS_IN", ("imps", "phonepe"), CREDIT, PHONEPE, False, None),
+    Rule("upi.in", "T1", ("upi",), CREDIT, None, False, None),
+    Rule("upi.out", "T2", ("upi",), DEBIT, None, False, None),
+    Rule("neft.in", "NEFT_IN", ("neft",), CREDIT, None, False, None),
+    Rule("neft.out", "NEFT_OUT", ("neft",), DEBIT, None, False, None),
+    Rule("rtgs.in", "RTGS_IN", ("rtgs",), CREDIT, None, False, None),
+    Rule("rtgs.out", "RTGS_OUT", ("rtgs",), DEBIT, None, False, None),
+    Rule("imps.in", "IMPS_IN", ("imps",), CREDIT, None, False, None),
+    Rule("imps.out", "IMPS_OUT", ("imps",), DEBIT, None, False, None),
+]
 
 
 def default_pack() -> list[Rule]:
-    pack = [Rule("self.holder-name", "F", review=True, predicate="holder_name")]
-    for line in _DEFAULT.split(";"):
-        name, category, words, direction = line.split()
-        pack.append(Rule(**({"id": name, "category": category, "words": tuple(words.split("+")), "direction": direction} | _SPECIAL.get(name, {}))))
-    return pack
+    return list(DEFAULT_PACK)
+
+
+PACK = "priority int, id string, category string, words array<string>, direction string, ledger string, review boolean, predicate string"
+
+
+def pack_frame(spark, pack: list[Rule] | None = None) -> DataFrame:
+    """A pack as a table, in order of priority."""
+    rows = [(i, r.id, r.category, list(r.words), r.direction, r.ledger, r.review, r.predicate) for i, r in enumerate(DEFAULT_PACK if pack is None else pack)]
+    return spark.createDataFrame(rows, PACK)
+
+
+def pack_from(table: DataFrame, most: int = 10_000) -> list[Rule]:
+    """The checked pack of a table with the columns of PACK; a pack is a constant of the plan, so its size is bounded."""
+    rows = table.select(*[c.split()[0] for c in PACK.split(", ")]).orderBy("priority", "id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return checked([Rule(r.id, r.category, tuple(r.words or ()), r.direction or EITHER, r.ledger, bool(r.review), r.predicate) for r in rows])
 
 
 def admits(constraint: str, actual: str) -> bool:
@@ -164,36 +234,43 @@ def direction_of(signed: Column) -> Column:
 
 def word_hits(words: Column, vocabulary: list[str]) -> Column:
     """The rule words that a narration's words match: exactly; from five letters on by ratio; from six on also as a prefix.
-    Only words that are long enough are compared fuzzily."""
-    long = texts(*[w for w in vocabulary if len(w) >= FUZZY_LENGTH])
-
-    def alike(rule_word: Column, w: Column) -> Column:
-        n, m = F.length(rule_word), F.length(w)
-        edits = F.floor(F.lit((100 - FUZZY) / 100) * (n + m) + F.lit(1e-9)).cast("int")
-        return ((n >= PREFIX_LENGTH) & w.startswith(rule_word)) | ((F.abs(n - m) <= edits) & (F.levenshtein(rule_word, w) <= edits) & (ratio(rule_word, w) >= FUZZY))
+    A word is compared fuzzily only with the rule words that its length allows."""
+    long = [w for w in vocabulary if len(w) >= FUZZY_LENGTH]
+    edits = lambda n, m: int((100 - FUZZY) / 100 * (n + m) + 1e-9)
+    widest = max([len(w) for w in long], default=0)
+    lengths = range(1, 2 * widest + 1)
+    near = {m: [w for w in long if abs(len(w) - m) <= edits(len(w), m)] for m in lengths}
+    begun = {m: [w for w in long if PREFIX_LENGTH <= len(w) <= m and w not in near.get(m, [])] for m in [*lengths, lengths.stop]}
+    if not long:
+        return F.array_intersect(texts(*vocabulary), words)
+    table = lambda of: F.array(*[texts(*of.get(m, [])) for m in range(lengths.stop + 1)])
+    close, longer = table(near), table(begun)
+    most = edits(widest, 2 * widest)
+
+    def alike(w: Column) -> Column:
+        m = F.length(w)
+        some, rest = (F.element_at(t, F.least(m, F.lit(lengths.stop)) + 1) for t in (close, longer))
+        close_by = lambda r: F.levenshtein(r, w, most).between(0, F.floor(F.lit((100 - FUZZY) / 100) * (F.length(r) + m) + F.lit(1e-9)))
+        hit = F.filter(some, lambda r: ((F.length(r) >= PREFIX_LENGTH) & w.startswith(r)) | (close_by(r) & (ratio(r, w) >= FUZZY)))
+        return F.concat(hit, F.filter(rest, lambda r: w.startswith(r)))
 
     exact = F.array_intersect(texts(*vocabulary), words)
     # the shortest word that is alike to one of five letters has four
-    near = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= FUZZY_LENGTH - 1), lambda w: F.filter(long, lambda r: alike(r, w))))
-    return F.concat(exact, near)
-
-
-def first_match(n: Column, direction: Column, holder: Column, pack: list[Rule]) -> Column:
-    """id, category, ledger and review of the first rule that matches a narration; null if none does."""
-    vocabulary = sorted({w for r in pack for w in r.words})
-    rules = F.array(*[record(id=F.lit(r.id), category=F.lit(r.category), words=texts(*r.words), direction=F.lit(r.direction), ledger=F.lit(r.ledger).cast("string"), review=F.lit(r.review), predicate=F.lit(r.predicate or "")) for r in pack])
-    used = sorted({r.predicate for r in pack if r.predicate})
-
-    def pick(hits: Column) -> Column:
-        def matches(r: Column) -> Column:
-            shape = F.lit(True)
-            for p in used:
-                shape = F.when(r["predicate"] == p, PREDICATES[p](n["words"], n["numbers"], holder)).otherwise(shape)
-            return ((r["direction"] == EITHER) | (r["direction"] == direction)) & F.forall(r["words"], lambda w: F.array_contains(hits, w)) & shape
+    return F.concat(exact, F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= FUZZY_LENGTH - 1), alike)))
 
-        return let(first_or_null(F.filter(rules, matches)), lambda r: F.when(r.isNotNull(), record(id=r["id"], category=r["category"], ledger=r["ledger"], review=r["review"])))
 
-    return let(word_hits(n["words"], vocabulary), pick)
+def first_match(hits: Column, n: Column, direction: Column, holder: Column, pack: list[Rule]) -> Column:
+    """The place in the pack of the first rule that matches a narration with these hits; null if none does. Rules are a chain of
+    conditions, so those behind the first match are not looked at."""
+    out = None
+    for i, r in enumerate(pack):
+        cond = F.lit(True) if r.direction == EITHER else direction == r.direction
+        for w in r.words:
+            cond = cond & F.array_contains(hits, w)
+        if r.predicate:
+            cond = cond & PREDICATES[r.predicate](n["words"], n["numbers"], holder)
+        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+    return F.lit(None).cast("int") if out is None else out
 
 
 def classify(rows: DataFrame, pack: list[Rule] | None = None, taxonomy: list[tuple] = TAXONOMY, holder: str = "holder") -> DataFrame:
@@ -201,13 +278,19 @@ def classify(rows: DataFrame, pack: list[Rule] | None = None, taxonomy: list[tup
     contra, rule_id and needs_review."""
     rules = checked(pack if pack is not None else default_pack(), taxonomy)
     name = F.col(holder) if holder in rows.columns else F.lit(None).cast("string")
-    m = first_match(F.col("__n"), direction_of(F.col("credit") - F.col("debit")), F.col("__h"), rules)
-    spec = F.create_map(*[x for code, _, ledger, _, contra in taxonomy for x in (F.lit(code), record(ledger=F.lit(ledger), contra=F.lit(contra)))])
-    out = rows.withColumn("__n", narration(F.col("narration"))).withColumn("__h", name_words(name)).withColumn("__m", m)
-    out = out.withColumn("category", F.coalesce("__m.category", F.lit(UNCLASSIFIED))).withColumn("__s", F.element_at(spec, F.col("category")))
+    vocabulary = sorted({w for r in rules for w in r.words})
+    fact = lambda values: F.try_element_at(texts(*values), F.col("__i") + 1)
+    ledgers = F.map_from_arrays(texts(*[t[0] for t in taxonomy]), texts(*[t[2] for t in taxonomy]))
+    out = rows.withColumns({"__n": narration(F.col("narration")), "__h": name_words(name)})
+    out = out.withColumn("__w", word_hits(F.col("__n.words"), vocabulary))
+    out = out.withColumn("__i", first_match(F.col("__w"), F.col("__n"), direction_of(F.col("credit") - F.col("debit")), F.col("__h"), rules))
+    out = out.withColumn("category", F.coalesce(fact([r.category for r in rules]), F.lit(UNCLASSIFIED)))
     shown = F.coalesce(F.nullif(display_name(name), F.lit("")), F.lit(NO_HOLDER))
-    ledger = F.coalesce("__m.ledger", F.replace(F.col("__s.ledger"), F.lit("{holder}"), shown))
-    return out.select(*rows.columns, "category", ledger.alias("tally_ledger"), F.col("__s.contra").alias("contra"), F.col("__m.id").alias("rule_id"), F.coalesce("__m.review", F.lit(True)).alias("needs_review"))
+    own = F.nullif(fact([r.ledger or "" for r in rules]), F.lit(""))
+    ledger = F.coalesce(own, F.replace(F.element_at(ledgers, F.col("category")), F.lit("{holder}"), shown))
+    contra = F.col("category").isin([t[0] for t in taxonomy if t[4]])
+    review = F.col("__i").isNull() | F.col("__i").isin([i for i, r in enumerate(rules) if r.review])
+    return out.select(*rows.columns, "category", ledger.alias("tally_ledger"), contra.alias("contra"), fact([r.id for r in rules]).alias("rule_id"), review.alias("needs_review"))
 
 
 def taxonomy_frame(spark, taxonomy: list[tuple] = TAXONOMY) -> DataFrame:
