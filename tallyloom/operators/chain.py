@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, money
+from ..functions.money import format_drcr, format_indian
 from ..schema import REPAIRED, UNRESOLVED
 
 ORDER = ("page_no", "source_row")
@@ -92,3 +93,15 @@ def row_agreement(rows: DataFrame, keep_nulls: bool = True) -> DataFrame:
         pairs = pairs.filter("before IS NOT NULL AND balance IS NOT NULL")
     agg = pairs.groupBy("doc_id").agg(F.count("*").alias("comparisons"), F.count_if(is_consistent(F.col("balance") - F.col("before"), F.col("printed_amount"))).alias("agreeing"))
     return agg.withColumn("agreement", F.round(100.0 * F.col("agreeing") / F.col("comparisons"), 4))
+
+
+def render(reports: DataFrame) -> DataFrame:
+    """Per document, the chain's report as printed lines."""
+    counted = lambda amount, n: F.concat(format_indian(F.col(amount)), F.format_string("  (%d)", n))
+    printed = F.col("closing_printed").isNotNull()
+    body = F.array_compact(F.array(
+        F.concat(F.lit("opening        "), format_drcr(F.col("opening"))), F.concat(F.lit("total credits  "), counted("total_credit", "credit_count")), F.concat(F.lit("total debits   "), counted("total_debit", "debit_count")),
+        F.concat(F.lit("closing (calc) "), format_drcr(F.col("closing_computed"))), F.when(printed, F.concat(F.lit("closing (print)"), format_drcr(F.col("closing_printed")))),
+        F.when(printed, F.concat(F.lit("variance       "), format_indian(F.col("variance")))), F.format_string("repaired %d   unresolved %d", "repaired", "unresolved"),
+    ))
+    return reports.select("doc_id", F.array_join(body, "\n").alias("report"))

@@ -93,3 +93,62 @@ def override_events(jobs: DataFrame, requests: DataFrame, at: Column) -> DataFra
 def creation_event(uploads: DataFrame, content: str, at: Column) -> DataFrame:
     """The first event of each upload; its id is the digest of its content, so that a repeated run adds the same job."""
     return uploads.select(F.sha2(F.col(content), 256).alias("job_id"), F.lit(1).cast("long").alias("seq"), at.alias("at"), F.lit(QUEUED).alias("state"), F.lit("HEADER").alias("stage"), *[c for c in uploads.columns if c != content])
+
+
+def lookup(jobs: DataFrame, job_id) -> DataFrame:
+    """One job; no row if there is none."""
+    return jobs.filter(F.col("job_id") == F.lit(job_id))
+
+
+def total(rows: DataFrame, name: str = "total") -> DataFrame:
+    """The count beside a page: of all the rows that it is a page of."""
+    return rows.agg(F.count("*").alias(name))
+
+
+def decoded(page: DataFrame, schema: str) -> DataFrame:
+    """Stored rows with their payload as columns; money and dates travel as text."""
+    return page.withColumn("__p", F.from_json("payload", schema)).select("job_id", "idx", "__p.*")
+
+
+# Answers to an upload that was taken, is of another kind, or cannot be read.
+CREATED, UNSUPPORTED, UNREADABLE = 201, 415, 422
+
+
+def intake(uploads: DataFrame, graded: DataFrame, at: Column, blocks: bool = True) -> DataFrame:
+    """What becomes of uploads (job_id, filename): status, state, stage, message. Only PDF names are taken; files without a
+    grade (job_id, verdict, summary) could not be read; rejected captures are not queued if ``blocks``."""
+    pdf = F.endswith(F.lower(F.coalesce("filename", F.lit(""))), F.lit(".pdf"))
+    seen = uploads.join(graded.select("job_id", "verdict", "summary"), "job_id", "left")
+    status = F.when(~pdf, UNSUPPORTED).when(F.col("verdict").isNull(), UNREADABLE).otherwise(CREATED)
+    rejected = (F.col("verdict") == "REJECT") & F.lit(blocks)
+    taken = F.col("status") == CREATED
+    out = seen.withColumn("status", status).withColumn("state", F.when(taken, F.when(rejected, REJECTED).otherwise(QUEUED)))
+    message = F.when(taken, F.col("summary")).when(F.col("status") == UNSUPPORTED, "only PDF statements are accepted").otherwise("could not read the PDF")
+    return out.select("job_id", "filename", F.lit(1).cast("long").alias("seq"), at.alias("at"), "status", "state", F.when(F.col("state") == QUEUED, "HEADER").alias("stage"), "verdict", message.alias("message"))
+
+
+def override_entries(jobs: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """Audit entries of valid override requests: partners only, with a reason; of any job, whatever its state."""
+    valid = allowed(requests, "PARTNER").filter(F.length(F.trim("reason")) >= REASON)
+    detail = F.concat(F.lit("state="), F.coalesce("state", F.lit("none")))
+    return valid.join(jobs.select("job_id", "state"), "job_id").select("job_id", at.alias("at"), F.lit("OVERRIDE").alias("action"), detail.alias("detail"), "reason")
+
+
+def with_overridden(jobs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Jobs with whether the audit log holds an override of theirs."""
+    named = entries.filter("action = 'OVERRIDE'").select("job_id", F.lit(True).alias("overridden")).distinct()
+    return jobs.join(named, "job_id", "left").fillna(False, ["overridden"])
+
+
+# The fields that a list of jobs shows, and those that one job's page adds.
+SUMMARY = (
+    "job_id", "filename", "state", "stage", "created_at", "updated_at", "profile_key", "quality_verdict", "account_no", "holder", "page_count",
+    "row_count", "unresolved", "reconciled", "opening", "closing", "variance", "progress_done", "progress_total", "error",
+)
+DETAIL = (*SUMMARY, "quality", "chain", "categories", "blocks_export")
+
+
+def view(jobs: DataFrame, fields: tuple[str, ...] = SUMMARY) -> DataFrame:
+    """The fields of a view, in order; those that nothing has set yet are null."""
+    have = set(jobs.columns)
+    return jobs.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in fields])

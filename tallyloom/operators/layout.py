@@ -138,3 +138,17 @@ def overlay(rows: DataFrame, numeric: DataFrame) -> DataFrame:
     text = let(pieces, lambda ps: F.array_join(F.transform(F.arrays_zip(ps.alias("p"), F.concat(new, F.array(F.lit(""))).alias("n")), lambda x: F.concat(x["p"], x["n"])), ""))
     changed = {"text": F.when(fits, text).otherwise(F.col("__row.text")), "confidence": F.when(fits, F.greatest("__row.confidence", "b.__conf")).otherwise(F.col("__row.confidence"))}
     return best.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in rows.columns])
+
+
+def page_lines(words: DataFrame, found: DataFrame, pages: DataFrame, numeric: DataFrame | None = None) -> DataFrame:
+    """Lines of scanned pages: by row bands on pages that have them, else from the words' places; then figures that a second,
+    digits-only reading of the money columns (``numeric``: words of the bands) has better. ``pages``: page_width."""
+    ruled = found.filter("axis = 'row'").select(*PAGE).distinct()
+    by_band = rows_to_lines(words.join(ruled, list(PAGE), "left_semi"), found)
+    free = group_into_rows(words.join(ruled, list(PAGE), "left_anti"))
+    lines = by_band.unionByName(free.select(*by_band.columns))
+    if numeric is None:
+        return lines
+    bands_ = numeric_band(lines, pages)
+    inside = numeric.join(bands_, list(PAGE)).filter("left >= band_left AND left < band_right").select(*numeric.columns)
+    return overlay(lines.drop("word_confidences"), group_into_rows(inside))

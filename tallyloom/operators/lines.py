@@ -72,6 +72,13 @@ PROFILES = [
 ]
 
 
+def register(layout: Profile) -> None:
+    """Adds a layout to those that ``profile``, detection and headers know; a known key is an error."""
+    if layout.key in {p.key for p in PROFILES}:
+        raise ValueError(f"profile {layout.key!r} is known already")
+    PROFILES.append(layout)
+
+
 def profile(key: str | None) -> Profile:
     """The layout of this key; none: shared traps only. Unknown keys raise KeyError."""
     known = {p.key: p for p in PROFILES} | {None: Profile("none")}

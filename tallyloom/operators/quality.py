@@ -101,3 +101,44 @@ def sample_pages(pages: DataFrame, limit: int = SAMPLED) -> DataFrame:
     seen = pages.filter("page_class = 'SCANNED'").select("doc_id", "page_no", (F.row_number().over(w.orderBy("page_no")) - 1).alias("k"), F.count("*").over(w).alias("n"))
     spread = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(float(max(1, limit - 1))), 0).cast("int"))
     return seen.filter((F.col("n") <= limit) | F.array_contains(spread, F.col("k"))).select("doc_id", "page_no")
+
+
+def flat_name(value: Column) -> Column:
+    """The first name of a wrapped one (an array of strings); null if there is none."""
+    return F.try_element_at(F.filter(value, lambda v: v.isNotNull() & (v != "")), F.lit(1))
+
+
+def distinct_findings(pages: DataFrame) -> DataFrame:
+    """Per document, one finding of each code: in the order of first appearance, as it last appeared."""
+    each = pages.select("doc_id", "page_no", F.posexplode("findings").alias("place", "f"))
+    at = F.struct("page_no", "place")
+    agg = each.groupBy("doc_id", F.col("f.code").alias("code")).agg(F.min(at).alias("first"), F.max_by("f", at).alias("f"))
+    verdict = F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.col("f.rank") + 1)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first.page_no", "first.place"))
+    return agg.select("doc_id", place.alias("ord"), "code", verdict.alias("verdict"), F.col("f.detail").alias("detail"))
+
+
+def render(pages: DataFrame) -> DataFrame:
+    """Per document, the grading of its capture as printed lines."""
+    scanned = F.count_if(F.col("page_class") == "SCANNED")
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("n"), scanned.alias("scanned"))
+    shown = F.concat(F.array_join(F.col("pages").cast("array<string>"), ", "), F.when(F.col("more") > 0, F.format_string(", ... (+%d more)", "more")).otherwise(""))
+    rank = pages.select(F.explode("findings").alias("f")).select("f.code", "f.rank").distinct()
+    name = F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.col("rank") + 1)
+    by_code = findings_by_code(pages).join(F.broadcast(rank), "code")  # a handful of codes
+    block = F.array(F.concat(F.lit("  ["), name, F.lit("] "), F.col("code"), F.lit("  pages "), shown), F.concat(F.lit(" " * 8), F.col("detail")))
+    blocks = by_code.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x["b"])).alias("blocks"))
+    out = verdicts(pages).join(counts, "doc_id").join(blocks, "doc_id", "left")
+    label = lambda text, value: F.concat(F.lit(f"{text:<22}"), value)
+    digital = F.col("n") - F.col("scanned")
+    resolution = F.when(F.col("dpi").isNotNull(), label("  effective DPI", F.concat(F.format_string("%.0f", F.bround("dpi", 0)), F.lit(" (median over scanned pages)"))))
+    resolution = resolution.when(F.col("scanned") == 0, label("  effective DPI", F.lit("n/a - a text layer, nothing was scanned")))
+    body = F.array_compact(F.concat(
+        F.array(
+            F.concat(F.lit("Quality gate - "), F.col("doc_id").cast("string")), F.lit("=" * 64), label("verdict", F.col("verdict")), label("", F.col("summary")), F.lit(""), F.lit("PAGES"),
+            label("  pages", F.col("n").cast("string")), label("  scanned / digital", F.concat_ws(" / ", F.col("scanned").cast("string"), digital.cast("string"))),
+            F.when(F.col("mixed"), F.lit("  -> mixed: capture checks apply to scanned pages only")), resolution, F.lit(""), F.lit("FINDINGS"),
+        ),
+        F.coalesce("blocks", F.array(F.lit("  none"))),
+    ))
+    return out.select("doc_id", F.array_join(body, "\n").alias("report"))

@@ -296,3 +296,12 @@ def classify(rows: DataFrame, pack: list[Rule] | None = None, taxonomy: list[tup
 def taxonomy_frame(spark, taxonomy: list[tuple] = TAXONOMY) -> DataFrame:
     """The categories as rows: ord, code, description, ledger, direction, contra."""
     return spark.createDataFrame([(i, *t) for i, t in enumerate(taxonomy)], "ord int, code string, description string, ledger string, direction string, contra boolean")
+
+
+def movements(rows: DataFrame, classified: DataFrame, keys: tuple[str, ...] = ("doc_id", "source_row")) -> DataFrame:
+    """Rows and their classifications one to one by place. A row without a classification, or the reverse, is an error."""
+    left = rows.withColumn("__row", F.lit(True))
+    both = left.join(classified.withColumn("__class", F.lit(True)), list(keys), "full")
+    whole = F.col("__row").isNotNull() & F.col("__class").isNotNull()
+    checked_ = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("rows and classifications differ in number")).cast("boolean"))
+    return both.filter(checked_).drop("__row", "__class")

@@ -140,7 +140,7 @@ sql("build_rows", f"SELECT x.doc_id, x.page_no, tn.source_row, date, CASE WHEN t
 sql("line_anchors", "SELECT doc_id, page_no, 'PAGE_TOTAL_CREDIT' AS kind, credit AS value, CAST(NULL AS VARCHAR) AS marker FROM p UNION ALL SELECT doc_id, page_no, 'PAGE_TOTAL_DEBIT', debit, NULL FROM p UNION ALL SELECT doc_id, page_no, 'CF_BALANCE', CAST(abs(balance) AS DECIMAL(18,2)), CASE WHEN balance < 0 THEN 'DR' ELSE 'CR' END FROM p WHERE final", LEDGER, TEXT, LINES)
 sql("page_diagnostics", "SELECT doc_id, page_no, CAST(page_no AS VARCHAR) AS printed_pages, count(*) AS lines, count(*) FILTER (kind = 'TRANSACTION') AS rows, CAST(0 AS BIGINT) AS unparsed_lines, round(avg(100.0 - line_no % 7), 1) AS mean_confidence FROM tn GROUP BY doc_id, page_no", LEDGER, TEXT, LINES)
 sql("limits_cut", "SELECT doc_id, page_no, n_rows + CASE WHEN doc_id % 2 = 1 THEN 1 ELSE CASE WHEN n_rows + 2 > 0.6 * (n_rows + 6 + CASE WHEN final THEN 1 ELSE 0 END) THEN 0 ELSE 1 END END AS n_rows, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE CASE WHEN n_rows + 2 > 0.6 * (n_rows + 6 + CASE WHEN final THEN 1 ELSE 0 END) THEN 0 ELSE 1 END END AS late FROM p", LEDGER, TEXT, LINES)
-CLASSED = "pc AS (SELECT doc_id % 50 AS doc_id, length(trim(CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) ELSE text END, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n FROM documents)"
+CLASSED = "pc AS (SELECT doc_id % 50 AS doc_id, length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n FROM documents)"
 sql("page_classes", "SELECT doc_id, count(*) AS pages, count(*) FILTER (n < 50) AS scanned, median(n) AS median_chars, CASE WHEN count(*) FILTER (n < 50) * 2 >= count(*) THEN 'SCANNED' ELSE 'DIGITAL' END AS dominant, count(*) FILTER (n < 50) > 0 AND count(*) FILTER (n < 50) < count(*) AS mixed FROM pc GROUP BY doc_id", CLASSED)
 IMAGES = """im AS (SELECT *, CASE WHEN m % 6 = 0 THEN 'DIGITAL' ELSE 'SCANNED' END AS page_class, m % 11 <> 0 AS has_image, [150, 200, 240, 300, 400][m % 5 + 1] AS d, m % 4 = 1 AS turned, m % 13 <> 0 AS sized, CASE WHEN m % 7 = 0 THEN 1 ELSE 8 END AS bits, m % 3 = 0 AS rgb
  FROM (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page_no, l_orderkey * 7 + l_linenumber AS m FROM lineitem)),
@@ -152,7 +152,7 @@ iv AS (SELECT *, CASE WHEN list_has_any(codes, ['BILEVEL', 'LOW_DPI']) THEN 2 WH
 sql("page_runs", "SELECT doc_id, page_class, min(page_no) AS first_page, max(page_no) AS last_page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - row_number() OVER (PARTITION BY doc_id, page_class ORDER BY page_no) AS run FROM im WHERE page_no <= 6) GROUP BY doc_id, page_class, run", IMAGES)
 sql("header_fields", "SELECT DISTINCT doc_id, CASE doc_id % 3 WHEN 0 THEN 'gramin_cc' WHEN 1 THEN 'sbi_current' END AS profile_key, CASE WHEN doc_id % 3 < 2 THEN lpad(CAST(doc_id AS VARCHAR), 11, '3') END AS account_no, CASE WHEN doc_id % 3 < 2 THEN holder END AS holder FROM l", LEDGER)
 sql("first_page", "SELECT doc_id, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS n, 'Service Outlet : 0042   Page no. 1' || chr(10) || 'Date  Particulars  Chq No  Withdrawal  Deposit  Balance' AS head FROM tn WHERE page_no = 1 GROUP BY doc_id", LEDGER, TEXT, LINES)
-sql("opening_figures", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(12.50 AS DECIMAL(18,2)) ELSE balance END AS opening FROM p WHERE final", LEDGER, TEXT, LINES)
+sql("opening_figures", "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 12.50 WHEN doc_id % 3 = 0 THEN 0.25 - doc_id ELSE doc_id + 0.25 END AS DECIMAL(18,2)) AS opening FROM p WHERE final", LEDGER, TEXT, LINES)
 
 # --- rules and summaries
 sql("rule_first_match", "SELECT k, category, tally_ledger, contra, rule_id, needs_review FROM c", LEDGER, TEXT, RULES)
@@ -162,14 +162,15 @@ sql("category_summary", "SELECT doc_id, ord, code, description, contra, coalesce
 sql("lines_to_summary", "SELECT doc_id, code, n, CAST(credit AS DECIMAL(18,2)) AS credit, CAST(debit AS DECIMAL(18,2)) AS debit FROM ag", LEDGER, TEXT, RULES, taxonomy(), BY_CODE)
 SUMMED = "su AS (SELECT doc_id, count(*) AS n_rows, CAST(sum(credit) AS DECIMAL(18,2)) AS total_credit, CAST(sum(debit) AS DECIMAL(18,2)) AS total_debit, count(*) FILTER (credit > 0 OR debit > 0) AS movement_count, count(*) FILTER (needs_review) AS review_count, count(*) FILTER (contra) AS contra_count, count(*) FILTER (category = 'UNCL') AS unclassified, count(*) FILTER (NOT (credit > 0 OR debit > 0)) AS settled_count FROM c GROUP BY doc_id), le AS (SELECT doc_id, string_agg(tally_ledger, '|' ORDER BY first) AS ledgers FROM (SELECT doc_id, tally_ledger, min(source_row) AS first FROM c GROUP BY doc_id, tally_ledger) GROUP BY doc_id)"
 sql("statement_summary", "SELECT * FROM su JOIN le USING (doc_id)", LEDGER, TEXT, RULES, SUMMED)
-sql("category_tie", "SELECT DISTINCT doc_id, CAST(0 AS DECIMAL(18,2)) AS credit_variance, CAST(0 AS DECIMAL(18,2)) AS debit_variance, CAST(0 AS BIGINT) AS movement_variance, true AS ties FROM l", LEDGER)
+sql("category_tie", """SELECT doc_id, CAST(-sum(credit) FILTER (gone) AS DECIMAL(18,2)) AS credit_variance, CAST(-sum(debit) FILTER (gone) AS DECIMAL(18,2)) AS debit_variance, -count(*) FILTER (gone) AS movement_variance, false AS ties
+ FROM (SELECT *, source_row = 0 AS gone FROM l WHERE doc_id % 3 = 0 AND n > 1) GROUP BY doc_id UNION ALL SELECT DISTINCT doc_id, 0, 0, 0, true FROM l WHERE doc_id % 3 <> 0""", LEDGER)
 sql("summary_total_line", f"SELECT doc_id, CAST(39 AS BIGINT) AS n_lines, rpad('', 9, ' ') || rpad('TOTAL', 30, ' ') || lpad(CAST(n_rows AS VARCHAR), 7, ' ') || lpad({indian('total_credit')}, 18, ' ') || lpad({indian('total_debit')}, 18, ' ') AS total FROM su", LEDGER, TEXT, RULES, SUMMED)
 
 # --- audit
 sql("audit_evidence", """SELECT doc_id, pages, array_to_string(range(1, CAST(pages AS BIGINT) + 1), '|') AS printed_pages, CAST(0 AS BIGINT) AS unparsed_lines, mean_confidence, n_rows, first_date, last_date, page_total_credit, page_total_debit, 2 * pages AS page_total_count
  FROM (SELECT doc_id, count(*) AS pages, round(avg(c), 4) AS mean_confidence FROM (SELECT doc_id, page_no, round(avg(100.0 - line_no % 7), 1) AS c FROM tn GROUP BY doc_id, page_no) GROUP BY doc_id)
  JOIN (SELECT doc_id, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, CAST(sum(credit) AS DECIMAL(18,2)) AS page_total_credit, CAST(sum(debit) AS DECIMAL(18,2)) AS page_total_debit FROM x GROUP BY doc_id) USING (doc_id)""", LEDGER, TEXT, LINES)
-sql("page_totals", "SELECT doc_id, page_no, 'PAGE_TOTAL_CREDIT' AS kind, credit AS printed, credit AS summed, CAST(0 AS DECIMAL(18,2)) AS difference FROM p UNION ALL SELECT doc_id, page_no, 'PAGE_TOTAL_DEBIT', debit, debit, CAST(0 AS DECIMAL(18,2)) FROM p", LEDGER, TEXT, LINES)
+sql("page_totals", "SELECT doc_id, page_no, 'PAGE_TOTAL_CREDIT' AS kind, CAST(credit + page_no % 2 AS DECIMAL(18,2)) AS printed, credit AS summed, CAST(-(page_no % 2) AS DECIMAL(18,2)) AS difference FROM p UNION ALL SELECT doc_id, page_no, 'PAGE_TOTAL_DEBIT', debit + page_no % 2, debit, -(page_no % 2) FROM p", LEDGER, TEXT, LINES)
 sql("against_expected", "SELECT doc_id, 'total_credit' AS label, CAST(sum(credit) + doc_id % 2 AS DECIMAL(18,2)) AS want, CAST(sum(credit) AS DECIMAL(18,2)) AS got, CAST(-(doc_id % 2) AS DECIMAL(18,2)) AS difference, doc_id % 2 = 0 AS ok FROM l GROUP BY doc_id", LEDGER)
 
 # --- layout
@@ -190,8 +191,18 @@ sql("document_verdicts", """SELECT doc_id, ['PASS', 'WARN', 'REJECT'][r + 1] AS
  WHEN list_contains(cs, 'LOW_DPI') THEN 'Scanned at ' || CASE WHEN dpi IS NULL THEN 'too low a resolution' ELSE CAST(round_even(dpi, 0) AS BIGINT) || ' DPI' END || '. Rescan at 300 DPI greyscale.' WHEN list_contains(cs, 'MARGINAL_DPI') THEN 'Below the 300 DPI target — expect more rows to need checking.'
  ELSE 'Capture quality is usable but flawed; see the findings.' END AS summary
  FROM (SELECT doc_id, max(rank) AS r, median(CASE WHEN scanned THEN dpi END) AS dpi, count(DISTINCT page_class) > 1 AS mixed, flatten(list(codes)) AS cs FROM iv GROUP BY doc_id)""", IMAGES)
-sql("findings_by_code", """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) AS INTEGER) AS ord, code, array_to_string(list_slice(ps, 1, 6), '|') AS pages, CAST(greatest(len(ps) - 6, 0) AS INTEGER) AS more
- FROM (SELECT doc_id, code, min(page_no * 100 + list_position(codes, code)) AS first, list(page_no ORDER BY page_no) AS ps FROM (SELECT doc_id, page_no, codes, unnest(codes) AS code FROM iv) GROUP BY doc_id, code)""", IMAGES)
+#: Findings of pages, one by one: place (page and order), code, verdict and detail.
+EACH = """ie AS (SELECT doc_id, page_no, page_no * 100 + list_position(codes, code) AS place, code, CASE WHEN code IN ('BILEVEL', 'LOW_DPI') THEN 'REJECT' ELSE 'WARN' END AS verdict, CASE code WHEN 'NO_IMAGE' THEN 'page has neither a text layer nor a scanned image'
+ WHEN 'BILEVEL' THEN 'captured as 1-bit black-and-white' WHEN 'NO_DPI' THEN 'resolution could not be determined from the page structure' WHEN 'LOW_DPI' THEN 'scanned at ' || CAST(round_even(dpi, 0) AS BIGINT) || ' DPI, below the 200 DPI floor'
+ WHEN 'MARGINAL_DPI' THEN 'scanned at ' || CAST(round_even(dpi, 0) AS BIGINT) || ' DPI, under the 300 DPI target' ELSE 'captured in colour (DeviceRGB)' || CASE WHEN m % 2 = 0 THEN ', JPEG-compressed' ELSE '' END END AS detail
+ FROM (SELECT *, unnest(codes) AS code FROM iv)),
+ig AS (SELECT doc_id, code, verdict, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(place)) AS INTEGER) AS ord, arg_min(detail, place) AS detail, arg_max(detail, place) AS last_detail, list(page_no ORDER BY page_no) AS ps FROM ie GROUP BY doc_id, code, verdict)"""
+sql("findings_by_code", "SELECT doc_id, ord, code, detail, array_to_string(list_slice(ps, 1, 6), '|') AS pages, CAST(greatest(len(ps) - 6, 0) AS INTEGER) AS more FROM ig", IMAGES, EACH)
+sql("quality_view", "SELECT doc_id, ord, code, verdict, last_detail AS detail FROM ig", IMAGES, EACH)
+sql("quality_text", """SELECT doc_id, array_to_string(list_filter(['Quality gate - ' || doc_id, repeat('=', 64), rpad('verdict', 22, ' ') || verdict, rpad('', 22, ' ') || summary, '', 'PAGES', rpad('  pages', 22, ' ') || n, rpad('  scanned / digital', 22, ' ') || s || ' / ' || (n - s),
+ CASE WHEN mixed THEN '  -> mixed: capture checks apply to scanned pages only' END, CASE WHEN dpi IS NOT NULL THEN rpad('  effective DPI', 22, ' ') || CAST(round_even(dpi, 0) AS BIGINT) || ' (median over scanned pages)' WHEN s = 0 THEN rpad('  effective DPI', 22, ' ') || 'n/a - a text layer, nothing was scanned' END,
+ '', 'FINDINGS', coalesce(found, '  none')], lambda z: z IS NOT NULL), chr(10)) AS report FROM dv JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (scanned) AS s FROM iv GROUP BY doc_id) USING (doc_id)
+ LEFT JOIN (SELECT doc_id, string_agg('  [' || verdict || '] ' || code || '  pages ' || array_to_string(list_slice(ps, 1, 6), ', ') || CASE WHEN len(ps) > 6 THEN ', ... (+' || (len(ps) - 6) || ' more)' ELSE '' END || chr(10) || repeat(' ', 8) || detail, chr(10) ORDER BY ord) AS found FROM ig GROUP BY doc_id) USING (doc_id)""", IMAGES, EACH, f"dv AS ({SQL['document_verdicts'].split(IMAGES, 1)[1]})")
 sql("measured_findings", "SELECT doc_id, page_no, greatest(rank, CASE WHEN extra > 0 THEN 1 ELSE 0 END) AS rank, CAST(len(codes) + extra AS BIGINT) AS n FROM (SELECT *, CASE WHEN abs((doc_id % 7 - 3) / 1.5) > 1.5 THEN 1 ELSE 0 END + CASE WHEN (page_no % 4) / 5.0 < 0.35 THEN 1 ELSE 0 END AS extra FROM iv)", IMAGES)
 sql("sampled_pages", "SELECT doc_id, page_no FROM (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM im WHERE page_class = 'SCANNED') WHERE n <= 3 OR i = 0 OR i = n - 1 OR i = CAST(round_even((n - 1) / 2.0, 0) AS BIGINT)", IMAGES)
 sql("largest_images", "SELECT l_orderkey AS doc_id, 1 AS page_no, CAST(max(CAST(l_quantity AS INTEGER) * 100000 + l_partkey) AS INTEGER) AS src_w, 3 AS src_h FROM (SELECT l_orderkey, l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
@@ -215,6 +226,49 @@ sql("audit_log_of_job", "SELECT event_id AS id, user_id AS job_id, event_type AS
 # --- records
 PAYLOAD = """'{"narration":"' || narration || '","credit":"' || credit || '","debit":"' || debit || '","balance":"' || balance || '","date":"' || date || '"}'"""
 sql("job_rows_page", f"SELECT doc_id AS job_id, source_row AS idx, {PAYLOAD} AS payload FROM x WHERE doc_id = 17 ORDER BY source_row LIMIT 5 OFFSET 2", LEDGER, TEXT)
-sql("frame_records", "SELECT doc_id, source_row, date, narration, debit, credit, balance, category, contra, 'CLEAN' AS row_state, '' AS repair_note, '' AS instrument_no FROM c", LEDGER, TEXT, RULES)
+sql("frame_records", """SELECT doc_id, date, CAST(NULL AS DATE) AS value_date, '' AS instrument_no, narration, debit, credit, balance, page_no, source_row, category, tally_ledger, contra, rule_id, needs_review,
+ '' AS raw_amount_text, '' AS raw_balance_text, CAST(0 AS DOUBLE) AS ocr_confidence, 'CLEAN' AS row_state, '' AS repair_note FROM c""", LEDGER, TEXT, RULES)
 sql("transport_records", """SELECT doc_id AS job_id, source_row AS idx, '{"date":"' || date || '","narration":"' || narration || '","debit":"' || debit || '","credit":"' || credit || '","balance":"' || balance || '","page_no":' || page_no || ',"contra":' || contra || '}' AS payload FROM c""", LEDGER, TEXT, RULES)
 sql("created_jobs", "SELECT sha256(text) AS job_id, 'QUEUED' AS state, 'HEADER' AS stage, count(*) AS n FROM documents GROUP BY text")
+
+# --- readers and statements of both kinds
+PLACED = f"""pw AS (SELECT doc_id, 1 AS page_no, n, i, 200 * i AS "left", CAST(n * 40 + doc_id % 3 + 2 * i AS INTEGER) AS top, ['L' || n, 'ITEM', {indian('v')}][i + 1] AS text FROM lo, (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS i))"""
+WHITE = "regexp_replace(text, '[^0-9.,\\-/]', '', 'g')"
+sql("text_layer_words", 'SELECT doc_id, page_no, text, "left", top, 150 AS width, 20 AS height, CAST(100 AS DOUBLE) AS confidence FROM pw', ITEMS, PLACED)
+sql("polygon_words", 'SELECT doc_id, page_no, text, "left", top, 150 AS width, 20 AS height, CAST(90 + n AS DOUBLE) AS confidence FROM pw WHERE NOT (doc_id % 3 = 0 AND i = 1)', ITEMS, PLACED)
+sql("numeric_words", f"""SELECT doc_id, page_no, {WHITE} AS text, "left", top FROM pw WHERE i <> 1""", ITEMS, PLACED)
+REGION = """SELECT doc_id, page_no, 'upper right' AS region, string_agg({text}, ' ' ORDER BY top, "left") AS text FROM pw WHERE i > 0 AND top + 10 < 110 {where} GROUP BY doc_id, page_no"""
+sql("region_texts", REGION.format(text="text", where=""), ITEMS, PLACED)
+sql("region_numbers", REGION.format(text=WHITE, where="AND i = 2"), ITEMS, PLACED)
+sql("raster_page_counts", "SELECT doc_id, count(*) AS pages, max(page_no) AS last_page FROM im GROUP BY doc_id", IMAGES)
+sql("flattened_names", "SELECT doc_id, page_no, CASE WHEN page_no % 3 < 2 THEN CASE WHEN m % 2 = 0 THEN 'DCTDecode' ELSE 'FlateDecode' END END AS codec FROM im", IMAGES)
+sql("routed_rows", f"""SELECT x.doc_id, x.page_no, tn.source_row, CASE WHEN x.page_no % 2 = 1 THEN replace({NARRATION}, 'TOWN', 'TOVN') ELSE {NARRATION} END AS narration, amount AS printed_amount, balance,
+ CASE WHEN x.page_no % 2 = 1 THEN CAST(50 AS DOUBLE) ELSE CAST(100.0 - line_no % 7 AS DOUBLE) END AS ocr_confidence FROM x JOIN tn ON x.doc_id = tn.doc_id AND x.page_no = tn.page_no AND line_no = x.source_row % 20 + 10""", LEDGER, TEXT, LINES)
+sql("routed_pages", "SELECT doc_id, page_no, CASE WHEN page_no % 2 = 0 THEN 'DIGITAL' ELSE 'SCANNED' END AS page_class, count(*) AS lines, count(*) FILTER (kind = 'TRANSACTION') AS rows, CASE WHEN page_no % 2 = 0 THEN round(avg(100.0 - line_no % 7), 1) ELSE 50.0 END AS mean_confidence FROM tn WHERE page_no <= 2 GROUP BY doc_id, page_no", LEDGER, TEXT, LINES)
+sql("scanned_page_lines", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(n - 1 AS INTEGER) ELSE line_no END AS line_no, text, CASE WHEN doc_id % 2 = 0 THEN CAST(n * 40 - 10 AS INTEGER) ELSE top END AS top,
+ CASE WHEN lines >= 5 THEN 99.5 ELSE CAST(90.0 + n AS DOUBLE) END AS confidence FROM lo JOIN (SELECT doc_id, count(*) AS lines FROM lo GROUP BY doc_id) USING (doc_id)""", ITEMS)
+sql("profile_line_kinds", "SELECT doc_id, page_no, line_no, kind, label FROM tn UNION ALL SELECT doc_id, page_no, 5, 'HEADER_REPEAT', 'HEADER' FROM p", LEDGER, TEXT, LINES)
+
+# --- positional joins, packs, reports, views
+sql("row_movements", "SELECT doc_id, source_row, credit, debit, category, rule_id FROM c", LEDGER, TEXT, RULES)
+
+
+def pack() -> str:
+    from ..operators.rules import DEFAULT_PACK
+    from ..functions.text import canon_of
+
+    return ", ".join(f"({i}, '{r.id}', '{r.category}', '{' '.join(map(canon_of, r.words))}', '{r.direction}', {str(r.review).lower()})" for i, r in enumerate(DEFAULT_PACK))
+
+
+sql("pack_rows", f"SELECT CAST(priority AS INTEGER) AS priority, id, category, words, direction, review FROM (VALUES {pack()}) AS t(priority, id, category, words, direction, review)")
+sql("chain_text", f"""SELECT doc_id, array_to_string(list_filter(['opening        0.00 Cr', 'total credits  ' || {indian('c')} || '  (' || cn || ')', 'total debits   ' || {indian('d')} || '  (' || dn || ')', 'closing (calc) ' || {printed('b')},
+ CASE WHEN doc_id % 4 > 0 THEN 'closing (print)' || {printed('e')} END, CASE WHEN doc_id % 4 > 0 THEN 'variance       ' || CASE WHEN doc_id % 2 = 1 THEN '-1.00' ELSE '0.00' END END, 'repaired ' || hits || '   unresolved 0'], lambda z: z IS NOT NULL), chr(10)) AS report
+ FROM (SELECT *, CAST(b + doc_id % 2 AS DECIMAL(18,2)) AS e FROM (SELECT doc_id, CAST(sum(credit) AS DECIMAL(18,2)) AS c, CAST(sum(debit) AS DECIMAL(18,2)) AS d, CAST(sum(credit - debit) AS DECIMAL(18,2)) AS b, count(*) FILTER (credit > 0) AS cn, count(*) FILTER (debit > 0) AS dn, count(*) FILTER (hit) AS hits FROM l GROUP BY doc_id))""", LEDGER)
+sql("job_lookup", "SELECT job_id, state, n_events FROM j WHERE job_id = 8", EVENTS)
+sql("job_view", "SELECT job_id, CAST(NULL AS VARCHAR) AS filename, state, stage, progress_done, CAST(NULL AS VARCHAR) AS row_count FROM j", EVENTS)
+sql("job_queue_total", "SELECT count(*) AS total FROM j WHERE state = 'QUEUED'", EVENTS)
+sql("job_rows_decoded", "SELECT doc_id AS job_id, source_row AS idx, narration, credit, balance, date, CAST(n AS BIGINT) AS total FROM x WHERE doc_id = 17 ORDER BY source_row LIMIT 5 OFFSET 2", LEDGER, TEXT)
+sql("job_intake", """SELECT o_orderkey AS job_id, status, CASE WHEN status = 201 THEN CASE WHEN verdict = 'REJECT' THEN 'REJECTED' ELSE 'QUEUED' END END AS state, CASE WHEN status = 201 AND verdict <> 'REJECT' THEN 'HEADER' END AS stage,
+ CASE status WHEN 201 THEN summary WHEN 415 THEN 'only PDF statements are accepted' ELSE 'could not read the PDF' END AS message
+ FROM (SELECT *, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 415 WHEN verdict IS NULL THEN 422 ELSE 201 END AS INTEGER) AS status FROM orders LEFT JOIN (SELECT * FROM dv WHERE doc_id % 10 <> 3) ON doc_id = o_orderkey)""", IMAGES, f"dv AS ({SQL['document_verdicts'].split(IMAGES, 1)[1]})")
+sql("override_log", "SELECT job_id, job_id % 2 = 0 AND job_id % 5 <> 0 AS overridden, CASE WHEN job_id % 2 = 0 AND job_id % 5 <> 0 THEN 'state=' || coalesce(state, 'none') END AS detail FROM j", EVENTS)

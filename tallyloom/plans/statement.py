@@ -46,6 +46,13 @@ def parse(printed: DataFrame, profile_key: str | None = None, first: int | None
     return Parsed(lines.transactions(read, layout), lines.anchors(read), found)
 
 
+def route(digital: DataFrame, scanned: DataFrame, classes: DataFrame, profile_key: str | None = None, first: int | None = None, last: int | None = None) -> Parsed:
+    """Statements of both kinds of pages, also within one document: every page's lines come from the reader that its class
+    (doc_id, page_no, page_class) calls for; rows are numbered over all of them. Diagnostics carry the page's class."""
+    of = lambda lines_, kind: lines_.join(classes.filter(F.col("page_class") == kind).select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
+    return parse(of(digital, "DIGITAL").unionByName(of(scanned, "SCANNED")), profile_key, first, last, classes)
+
+
 def categorise(parsed: Parsed, accounts: DataFrame, profile_key: str | None = None, pack: list[rules.Rule] | None = None) -> Categorised:
     """Accounts (doc_id, holder, opening, closing): a missing opening is the first brought-forward figure, else 0."""
     layout = lines.profile(profile_key)

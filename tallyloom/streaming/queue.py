@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import jobs
@@ -77,3 +78,23 @@ def requeue_stale(stream: DataFrame, seconds: int = jobs.STALE_SECONDS) -> DataF
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = stream.select(F.col("job_id").cast("string").alias("job_id"), "seq", "state").groupBy("job_id")
     return keyed.transformWithStateInPandas(_Stale(seconds), "job_id string, seq long, state string", "Append", "ProcessingTime")
+
+
+class Progress(StreamingQueryListener):
+    """Tells how far a poll loop is: after each micro-batch, ``tell`` gets its number and its count of rows. Telling is best
+    effort: what it raises is counted and goes no further, so a lost ping never stops the work."""
+
+    def __init__(self, tell: Callable[[int, int], None]):
+        self.tell, self.failed = tell, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        try:
+            self.tell(event.progress.batchId, event.progress.numInputRows)
+        except Exception:  # noqa: BLE001
+            self.failed += 1
+
+    def onQueryTerminated(self, event) -> None:
+        pass
