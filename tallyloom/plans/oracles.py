@@ -272,3 +272,32 @@ sql("job_intake", """SELECT o_orderkey AS job_id, status, CASE WHEN status = 201
  CASE status WHEN 201 THEN summary WHEN 415 THEN 'only PDF statements are accepted' ELSE 'could not read the PDF' END AS message
  FROM (SELECT *, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 415 WHEN verdict IS NULL THEN 422 ELSE 201 END AS INTEGER) AS status FROM orders LEFT JOIN (SELECT * FROM dv WHERE doc_id % 10 <> 3) ON doc_id = o_orderkey)""", IMAGES, f"dv AS ({SQL['document_verdicts'].split(IMAGES, 1)[1]})")
 sql("override_log", "SELECT job_id, job_id % 2 = 0 AND job_id % 5 <> 0 AS overridden, CASE WHEN job_id % 2 = 0 AND job_id % 5 <> 0 THEN 'state=' || coalesce(state, 'none') END AS detail FROM j", EVENTS)
+
+
+def common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def corpus() -> str:
+    """Rules with their words, and which words are hits of which rule words."""
+    from ..functions.text import canon_of
+    from ..operators.rules import DEFAULT_PACK
+
+    each = [(i, r.id, [canon_of(w) for w in r.words], r.direction, bool(r.predicate)) for i, r in enumerate(DEFAULT_PACK)]
+    seen = sorted({w for _, _, ws, _, _ in each for w in ws})
+    hit = lambda w, r: w == r or len(r) >= 6 and w.startswith(r) or len(r) >= 5 and 200 * common(w, r) >= 85 * (len(w) + len(r))
+    rows = ", ".join(f"({i}, '{n}', {ws}::VARCHAR[], '{d}', {str(p).lower()})" for i, n, ws, d, p in each)
+    hits = ", ".join(f"('{w}', '{r}')" for w in [*seen, "wobble"] for r in seen if hit(w, r))
+    return f"ru(priority, id, words, direction, shaped) AS (VALUES {rows}), hi(word, rule_word) AS (VALUES {hits})"
+
+
+sql("rule_corpus", f"""SELECT k, arg_min(id, priority) FILTER (fits) AS rule_id FROM (SELECT o.k, ru.id, ru.priority, NOT ru.shaped AND (ru.direction = 'EITHER' OR ru.direction = side) AND list_has_all(hits, ru.words) AS fits
+ FROM (SELECT k, CASE WHEN k % 3 = 0 THEN 'CREDIT' ELSE 'DEBIT' END AS side, k % {corpus().count("', [")} AS i FROM l) o JOIN (SELECT a.priority AS i, list_distinct(list(rule_word)) AS hits FROM ru a, hi WHERE list_contains(list_append(a.words, 'wobble'), word) GROUP BY a.priority
+ UNION ALL SELECT a.priority, []::VARCHAR[] FROM ru a WHERE len(a.words) = 0) USING (i), ru) GROUP BY k""", LEDGER, corpus())

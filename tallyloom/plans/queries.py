@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..functions import similarity as S
 from ..functions import text as T
-from ..functions.columns import MONEY, money
+from ..functions.columns import MONEY, money, texts
 from ..operators import audit, chain, jobs, layout, lines, quality, repair, rules, summary
 from ..sources import scans, sinks
 from ..tables import written
@@ -311,6 +311,15 @@ def rule_counts(spark, sf):
     return _classified(spark, sf).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@query
+def rule_corpus(spark, sf):
+    """A narration of each rule's words, as a credit or a debit: which rule is the first to match it."""
+    pack = rules.default_pack()
+    words = texts(*[" ".join((*r.words, "wobble")).upper() for r in pack])
+    rows = L.ledger(spark, sf).withColumn("narration", F.element_at(words, (F.col("k") % len(pack) + 1).cast("int")))
+    return rules.classify(rows).select("k", "rule_id")
+
+
 @query
 def category_summary(spark, sf):
     return summary.category_totals(_classified(spark, sf))
