@@ -1,35 +1,38 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 The driver reads the rank file (its size is checked) and broadcasts it. Long texts are cut where the pre-splitting
-pattern cannot match across: before a single space between two ASCII letters. A letter run ends there and the next
-piece starts there, so the pieces of the parts are the pieces of the whole. Decoding joins raw bytes, never strings.
+pattern cannot match across: between a letter, of any script, and white space or a full stop, comma or the like. A run of
+letters ends there and the next piece starts there, so the pieces of the parts are the pieces of the whole. Decoding joins raw
+bytes, never strings.
 
-Defined cases: null texts are empty and have no ids; texts without a safe boundary are encoded in one go; repeated rows
-are encoded each for itself; an input column that has the name of an added one is replaced.
+Defined cases: null texts are empty and have no ids; very long texts are encoded in parts, those without a safe boundary in
+one go; repeated rows are encoded each for itself; an empty table gives an empty result; an input column that has the name of
+an added one is replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .shared import free, lean
+from .textnum import groups
 
 #: The largest rank file that is broadcast, in bytes.
 MAX_RANK_BYTES = 64 << 20
 #: Texts longer than this many characters are cut at safe boundaries.
 PART_CHARS = 1 << 16
-#: Documents taken from an Arrow batch at a time.
-DOCS_AT_ONCE = 256
-SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Bytes of documents taken from an Arrow batch at a time.
+BYTES_AT_ONCE = 1 << 20
+SAFE = regex.compile(r"(?<=\p{L})(?=[\s.,;:!?。、，！？])")
 KINDS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "decoded": T.BinaryType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
 
@@ -76,11 +79,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, emit: tuple[str, ...]
         enc = encoding(ranks.value, pattern)
         digits = [str(i) for i in range(enc.max_token_value + 1)]
         for whole in batches:
-            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                batch = whole.slice(at, DOCS_AT_ONCE)
+            for batch, texts in groups(whole, whole.num_columns - 1, BYTES_AT_ONCE):
                 out: dict[str, list] = {k: [] for k in emit}
-                for text in batch.column(batch.num_columns - 1).to_pylist():
-                    ids = encode_text(enc, text or "")
+                for text in texts:
+                    ids = encode_text(enc, text.decode())
                     if "decoded" in out or "decoded_sha256" in out:
                         raw = enc.decode_bytes(ids)
                     for k, v in out.items():

@@ -4,8 +4,9 @@ A rule (host, path) fits its host and all subdomains if the url's path starts wi
 the one with the most host labels wins, then the one with the longest path; of an allow and a block entry with the
 same host and path, block wins. Where no rule fits, the verdict is the default one (allow).
 
-Defined cases: null urls and urls without ``://`` have an empty host and path; repeated rows are judged each for
-itself; an input column that has the name of an added one is replaced.
+Defined cases: null urls and urls without ``://`` have an empty host and path; very long urls are read to the end; repeated
+rows are judged each for itself; an empty table gives an empty result; an input column that has the name of an added one is
+replaced.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 
 from .shared import free, lean
 
-#: The most rules that are broadcast.
-MAX_RULES = 1_000_000
+#: The most rules that are broadcast, and the most characters of theirs (a trie takes some ten times as many bytes).
+MAX_RULES, MAX_CHARS = 1_000_000, 16 << 20
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ADDED = ("host", "path", "rule", "verdict")
 
@@ -37,25 +38,29 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Trie:
-    """Nodes are [children, ends]. Under a host node, the child "/" is the root of its paths; a rule's last, possibly
-    unfinished segment is an end of its node: {segment start: (rule, verdict)}."""
+    """Nodes are [children, ends, longest end]. Under a host node, the child "/" is the root of its paths; a rule's last,
+    possibly unfinished segment is an end of its node: {segment start: (rule, verdict)}. Ends are looked up by the segment's
+    starts, so a node with many ends costs no more than one with few."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
-        self.root: list = [{}, {}]
+        self.root: list = [{}, {}, 0]
+        chars = 0
         for n, (verdict, host, path) in enumerate(rules):
-            if n >= MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules")
+            chars += len(host) + len(path)
+            if n >= MAX_RULES or chars > MAX_CHARS:
+                raise ValueError(f"more than {MAX_RULES} rules or {MAX_CHARS} characters")
             if verdict not in ("allow", "block"):
                 raise ValueError(f"unknown verdict {verdict}")
             node = self.root
             for label in reversed(host.translate(FOLD).split(".")):
-                node = node[0].setdefault(label, [{}, {}])
-            node = node[0].setdefault("/", [{}, {}])
+                node = node[0].setdefault(label, [{}, {}, 0])
+            node = node[0].setdefault("/", [{}, {}, 0])
             *whole, rest = path.split("/")
             for segment in whole:
-                node = node[0].setdefault(segment, [{}, {}])
+                node = node[0].setdefault(segment, [{}, {}, 0])
             if node[1].get(rest, ("", ""))[1] != "block":
                 node[1][rest] = (host + path, verdict)
+                node[2] = max(node[2], len(rest))
 
     def judge(self, host: str, path: str) -> tuple[str, str] | None:
         """The winning rule and its verdict."""
@@ -68,9 +73,9 @@ class Trie:
         for node in reversed(nodes):  # the most labels first
             best, segments = None, path.split("/")
             for i, segment in enumerate(segments):
-                fits = [k for k in node[1] if segment.startswith(k)]
-                if fits:
-                    best = node[1][max(fits, key=len)]
+                if node[1]:
+                    starts = (segment[:n] for n in range(min(len(segment), node[2]), -1, -1))
+                    best = next((node[1][k] for k in starts if k in node[1]), best)
                 if i == len(segments) - 1 or (node := node[0].get(segment)) is None:
                     break
             if best:

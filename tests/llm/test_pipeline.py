@@ -50,10 +50,16 @@ def test_run(spark):
 
 def test_stages_take_odd_rows(make, spark):
     docs = make(ODD + ["the same text as another one here"] * 3, [None] + list(range(1, len(ODD))) + [20, 21, 21], extra=["e"] * 12)
+    clash = {c: F.lit("c") for c in ("__doc", "__whole", "lang_pred", "score", "row", "group", "n_removed", "__places", "__rate", "copy")}
+    docs = docs.withColumns(clash)
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, docs, SF)
-        assert out.columns == docs.columns and out.count() >= 0
+        assert out.columns == docs.columns and out.filter("lang_pred = 'c' AND copy = 'c'").count() == out.count() > 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+    last = P.byte_bpe(spark, docs.withColumns({"ids": F.lit("c"), "n_tokens": F.lit("c"), "__text": F.lit("c")}), SF)
+    rows = last.collect()
+    assert len(rows) == 12 and all(r.n_tokens == len(r.ids) and r["__text"] == "c" for r in rows) and [r.ids for r in rows if r.text is None] == [[]]
+    assert P.byte_bpe(spark, docs.limit(0), SF).count() == 0
     kept = P.jaccard_join(spark, docs, SF)
     assert kept.filter("doc_id >= 20").count() == 1 and kept.filter("doc_id IS NULL").count() == 1
 

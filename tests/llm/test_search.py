@@ -94,3 +94,11 @@ def test_precedence():
     assert t.judge("c.b", "/x/y/z/1") == ("b/x/y/z/", "block") and t.judge("c.b", "/x/y/z") is None and t.judge("b.a", "/x") is None
     with pytest.raises(ValueError):
         U.Trie([("maybe", "a", "/")])
+
+
+def test_many_ends_and_long_urls(monkeypatch):
+    t = U.Trie([("block", "a.b", f"/r{i}") for i in range(3000)] + [("allow", "a.b", "/r29/x")])
+    assert t.judge("a.b", "/r2999z") == ("a.b/r2999", "block") and t.judge("a.b", "/r29/x" + "y" * 100_000) == ("a.b/r29/x", "allow") and t.judge("a.b", "/" + "q" * 1_000_000) is None
+    monkeypatch.setattr(U, "MAX_CHARS", 5)
+    with pytest.raises(ValueError):
+        U.Trie([("allow", "a.b", "/long")])

@@ -40,7 +40,7 @@ def test_bpe_round_trip(make):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab Z'slt.\n\té1 ", max_size=120))
+@given(st.text(alphabet="ab Z'slt.,\n\té1 日語。、ß!  ", max_size=120))
 def test_safe_cuts(text):
     enc = B.encoding(B.read_ranks(PATH), PATTERN)
     parts = list(B.parts(text, 5))
