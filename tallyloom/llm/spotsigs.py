@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .setjoin import join
-from .shared import lean
-from .textnum import mixed, stream, words
+from .shared import erase, lean, written
+from .textnum import groups, mixed, stream, words
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -91,14 +91,24 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _sets(texts: list[bytes]) -> list[np.ndarray]:
-    return [f.astype(np.uint64) for f in fingerprints(texts)]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's signatures, four bytes each, in place of its text."""
+    for whole in batches:
+        for part, texts in groups(whole, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.tobytes() for f in fingerprints(texts)], pa.binary())], names=["doc_id", "text"])
+
+
+def _unpacked(texts: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.uint32).astype(np.uint64) for t in texts]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_signatures and component_id (the smallest doc_id that links reach) of each document; fingerprints link from
-    a likeness of 0.8 on."""
-    return join(docs, _sets, by_length=True).withColumnRenamed("n_shingles", "n_signatures")
+    a likeness of 0.8 on. The signatures are computed once and written; all passes of the join read them, not the texts."""
+    sigs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_packed), "doc_id long, text binary"), "signatures")
+    out = join(sigs, _unpacked, by_length=True).withColumnRenamed("n_shingles", "n_signatures")
+    erase(sigs)
+    return out
 
 
 def as_text(sigs: np.ndarray) -> str:

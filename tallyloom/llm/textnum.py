@@ -82,13 +82,13 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def groups(batch: pa.RecordBatch, text: int, most: int = BYTES_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch with at most so many bytes of text (or one row), and their texts; null is empty."""
+    """Slices of a batch with at most so many bytes of text (or one row), and their texts; null is empty, binary is taken as it is."""
     texts = batch.column(text)
     size = texts.nbytes // max(1, batch.num_rows) + 1
     rows = max(1, min(batch.num_rows, 2 * most // size))
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
-        raw = [(x or "").encode() for x in part.column(text).to_pylist()]
+        raw = [x if isinstance(x, bytes) else (x or "").encode() for x in part.column(text).to_pylist()]
         ends, a = np.cumsum([len(x) for x in raw]), 0
         while a < len(raw):
             before = ends[a - 1] if a else 0
