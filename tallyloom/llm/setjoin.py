@@ -524,6 +524,7 @@ def _grouped(docs: DataFrame, make: Sets, by_id: bool, by_length: bool = False)
     pairs = written(named.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind")), "pairs")
     lists = written(met.filter("kind = 2").select(F.col("a1").alias("list"), "b1", "b2").join(of("b"), ["b1", "b2"]).select("list", F.col("b").alias("id"), F.col("n_b").alias("n")).distinct(), "lists")
     erase(met)
+    docs.sparkSession._jvm.System.gc()  # lets the context's cleaner delete the shuffles of the jobs that are done
     maps = written(_sets_of(docs, _ends(pairs).unionByName(lists.select("id")), False, make), "maps")
     likely = written(_likely(pairs.select("a", "b"), maps), "likely")
     sets = written(_sets_of(docs, _ends(likely), True, make), "sets")
@@ -562,7 +563,7 @@ def _grouped(docs: DataFrame, make: Sets, by_id: bool, by_length: bool = False)
     erase(pairs, lists, maps, likely, *held, *links, *tried)
     spark = docs.sparkSession
     del named, often
-    spark._jvm.System.gc()  # lets the context's cleaner delete the shuffles of the jobs that are done
+    spark._jvm.System.gc()
     return rows, classes, found
 
 
