@@ -123,7 +123,10 @@ sql("parse_amounts", """SELECT k, CAST(CASE m WHEN 4 THEN -amount WHEN 7 THEN NU
 SQL["parse_amounts"] = SQL["parse_amounts"]
 sql("format_amounts", f"SELECT k, CASE WHEN balance < 0 THEN '-' ELSE '' END || {indian('abs(balance)')} AS indian, {printed('balance')} AS drcr, CASE WHEN k % 4 > 0 AND balance <> 0 THEN CASE WHEN balance < 0 THEN '-' ELSE '' END || {indian('abs(balance)')} ELSE '' END AS blank, replace(CAST(abs(balance) AS VARCHAR), '.', '') AS digits FROM l", LEDGER)
 sql("signed_amounts", "SELECT k, CAST(CASE WHEN k % 3 = 0 THEN -amount ELSE amount END AS DECIMAL(18,2)) AS signed, CAST(CASE WHEN k % 3 = 0 OR (k % 3 = 2 AND k % 2 = 0) THEN -amount ELSE amount END AS DECIMAL(18,2)) AS header_total FROM l", LEDGER)
-sql("money_tokens", f"SELECT doc_id, page_no, CAST(source_row % 20 + 10 AS INTEGER) AS line_no, CAST(2 AS BIGINT) AS n, {indian('amount')} || '|' || {indian('abs(balance)')} AS tokens FROM l", LEDGER)
+sql("money_tokens", f"""SELECT doc_id, page_no, CAST(source_row % 20 + 10 AS INTEGER) AS line_no, CAST(2 AS BIGINT) AS n, {indian('amount')} || '|' || {indian('abs(balance)')} AS tokens FROM x
+ UNION ALL SELECT doc_id, page_no, n.i, CAST(0 AS BIGINT), '' FROM p, (VALUES (1), (2), (40)) n(i)
+ UNION ALL SELECT doc_id, page_no, 41, CAST(1 AS BIGINT), {indian('credit')} FROM p UNION ALL SELECT doc_id, page_no, 42, CAST(1 AS BIGINT), {indian('debit')} FROM p
+ UNION ALL SELECT doc_id, page_no, 43, CAST(1 AS BIGINT), {indian('abs(balance)')} FROM p WHERE final""", LEDGER, TEXT, LINES)
 sql("round_half_even", "SELECT CAST(sum(round_even(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.1, 2)) AS DECIMAL(18,2)) AS tenths, count(*) AS n FROM lineitem")
 
 # --- text
@@ -134,8 +137,15 @@ sql("holder_names", "SELECT DISTINCT doc_id, ['Asha Bora', 'Kiran Doli', 'Meena
 
 # --- lines
 sql("line_kinds", "SELECT doc_id, page_no, line_no, kind, label, source_row FROM tn", LEDGER, TEXT, LINES)
-sql("damaged_line_kinds", "SELECT doc_id, page_no, line_no, kind, CASE WHEN line_no = 40 THEN 'separator glyphs only' WHEN line_no = 2 THEN 'header tokens, no money' ELSE 'canonical match' END AS reason FROM tn WHERE line_no NOT BETWEEN 10 AND 30", LEDGER, TEXT, LINES)
-SQL["extract_fields"] = f"WITH {LEDGER}, {TEXT} SELECT doc_id, page_no, CAST(source_row % 20 + 10 AS INTEGER) AS line_no, CAST(date AS VARCHAR) AS dates, amount || '|' || abs(balance) AS amounts, CASE WHEN t = 5 THEN number ELSE '' END AS instrument, {NARRATION} AS narration, CASE WHEN balance < 0 THEN 'DR' ELSE 'CR' END AS balance_marker FROM x"
+sql("damaged_line_kinds", "SELECT doc_id, page_no, line_no, kind, CASE WHEN line_no = 40 THEN 'separator glyphs only' WHEN line_no = 2 THEN 'header tokens, no money' WHEN kind = 'TRANSACTION' THEN '' ELSE 'canonical match' END AS reason FROM tn", LEDGER, TEXT, LINES)
+sql("extract_fields", f"""SELECT doc_id, page_no, CAST(source_row % 20 + 10 AS INTEGER) AS line_no, CAST(date AS VARCHAR) AS dates, amount || '|' || abs(balance) AS amounts, CASE WHEN t = 5 THEN number ELSE '' END AS instrument, {NARRATION} AS narration,
+ CASE WHEN balance < 0 THEN 'DR' ELSE 'CR' END AS balance_marker FROM x
+ UNION ALL SELECT doc_id, page_no, 1, '', '', '', 'Service Outlet : 0042 Page no. ' || page_no, NULL FROM p
+ UNION ALL SELECT doc_id, page_no, 2, '', '', '', 'Date Particulars Chq No Withdrawal Deposit Balance', NULL FROM p
+ UNION ALL SELECT doc_id, page_no, 40, '', '', '', '', NULL FROM p
+ UNION ALL SELECT doc_id, page_no, 41, '', CAST(credit AS VARCHAR), '', 'Page Total Credit', NULL FROM p
+ UNION ALL SELECT doc_id, page_no, 42, '', CAST(debit AS VARCHAR), '', 'Page Total Debit', NULL FROM p
+ UNION ALL SELECT doc_id, page_no, 43, '', CAST(abs(balance) AS VARCHAR), '', 'Carried Forward', CASE WHEN balance < 0 THEN 'DR' ELSE 'CR' END FROM p WHERE final""", LEDGER, TEXT, LINES)
 sql("build_rows", f"SELECT x.doc_id, x.page_no, tn.source_row, date, CASE WHEN t = 5 THEN number ELSE '' END AS instrument_no, {NARRATION} AS narration, amount AS printed_amount, balance, {indian('amount')} AS raw_amount_text, {indian('abs(balance)')} AS raw_balance_text, CAST(100.0 - line_no % 7 AS DOUBLE) AS ocr_confidence FROM x JOIN tn ON x.doc_id = tn.doc_id AND x.page_no = tn.page_no AND line_no = x.source_row % 20 + 10", LEDGER, TEXT, LINES)
 sql("line_anchors", "SELECT doc_id, page_no, 'PAGE_TOTAL_CREDIT' AS kind, credit AS value, CAST(NULL AS VARCHAR) AS marker FROM p UNION ALL SELECT doc_id, page_no, 'PAGE_TOTAL_DEBIT', debit, NULL FROM p UNION ALL SELECT doc_id, page_no, 'CF_BALANCE', CAST(abs(balance) AS DECIMAL(18,2)), CASE WHEN balance < 0 THEN 'DR' ELSE 'CR' END FROM p WHERE final", LEDGER, TEXT, LINES)
 sql("page_diagnostics", "SELECT doc_id, page_no, CAST(page_no AS VARCHAR) AS printed_pages, count(*) AS lines, count(*) FILTER (kind = 'TRANSACTION') AS rows, CAST(0 AS BIGINT) AS unparsed_lines, round(avg(100.0 - line_no % 7), 1) AS mean_confidence FROM tn GROUP BY doc_id, page_no", LEDGER, TEXT, LINES)
