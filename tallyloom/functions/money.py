@@ -19,6 +19,7 @@ CURRENCY = r"(?i)(?:^|\s)(?:rs\.?|inr|₹)\s*"
 GLUED = r"(?i)(?<=\d)\s*(DR|CR)\.?\s*$"
 SPACED = r"(?i)\s*\b(dr|cr)\b\.?\s*$"
 GROUPED = r"^(\d{1,3}|\d{1,2}(?:,\d{2})*,\d{3})$"
+PLAIN = r"^[0-9,]*[.,][0-9]{2}\z"
 #: Marks around matches while a line is taken apart; they don't occur in printed text.
 OPEN, CLOSE = "\x01", "\x02"
 
@@ -98,6 +99,14 @@ def _value(raw: Column, w: Column, s: Column, notes: Column) -> Column:
     return F.when(w.rlike(r"^[\d.,]+$"), let(parts, result)).otherwise(unread)
 
 
+def amount_value(raw: Column) -> Column:
+    """The value of ``parse_amount``. A figure of digits and commas with its paise needs none of the repairs."""
+    size = F.length(raw)
+    digits = F.translate(F.substring(raw, F.lit(1), size - 3), ",", "")
+    plain = F.concat(F.when(digits == "", "0").otherwise(digits), F.lit("."), F.right(raw, F.lit(2))).try_cast(MONEY)
+    return F.when(raw.rlike(PLAIN), plain).otherwise(parse_amount(raw)["value"])
+
+
 def suspect(parsed: Column) -> Column:
     """Read, but with something amiss."""
     return (F.size(parsed["repairs"]) > 0) | ~parsed["grouping_ok"] | ~parsed["has_paise"]

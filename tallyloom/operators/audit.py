@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, money
-from ..functions.money import format_drcr, format_indian, money_tokens
+from ..functions.money import format_drcr, format_indian
 from . import lines as L
 from .chain import is_consistent
 
@@ -48,14 +48,15 @@ def against_expected(reports: DataFrame, expected: DataFrame) -> DataFrame:
 
 def bake_off(lines: DataFrame, layout: L.Profile | None = None) -> DataFrame:
     """Per engine, over pages of lines (engine, doc_id, page_no, line_no, text): rows, figures, and the agreement of
-    consecutive rows of a page."""
-    seen = lines.withColumn("__kind", L.classify_line(F.col("text"), layout)["kind"])
-    figures = seen.groupBy("engine").agg(F.sum(F.size(money_tokens(F.col("text")))).alias("money_tokens"))
-    rows = L.build_rows(seen.filter(F.col("__kind") == L.TRANSACTION), F.lit(bool(layout and layout.overdraft)))
-    w = Window.partitionBy("engine", "doc_id", "page_no").orderBy("line_no")
-    pairs = rows.withColumn("__first", F.row_number().over(w) == 1).withColumn("__fits", is_consistent(F.col("balance") - F.lag("balance").over(w), F.col("printed_amount")))
-    scored = pairs.groupBy("engine").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("__first")).alias("comparisons"), F.count_if(~F.col("__first") & F.col("__fits")).alias("agreeing"))
-    out = figures.join(scored, "engine", "left").fillna(0, ["n_rows", "comparisons", "agreeing"])
+    consecutive rows of a page. A text that several engines have at one place is read once,
+    its kind only if its figures make a row; the shuffle by pages serves that, the window and nothing else."""
+    place = ["doc_id", "page_no", "line_no"]
+    texts = lines.repartition("doc_id", "page_no").groupBy(*place, "text").agg(F.collect_list(F.struct("engine")).alias("__engines"))
+    seen = texts.select("__engines", *place, L.row_figures(F.col("text"), layout).alias("__f")).select(F.inline("__engines"), *place, "__f.*")
+    w = Window.partitionBy("engine", "doc_id", "page_no").orderBy("line_no", "balance", "printed_amount")
+    before = F.last("balance", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pairs = seen.withColumn("__second", F.col("balance").isNotNull() & before.isNotNull()).withColumn("__fits", is_consistent(F.col("balance") - before, F.col("printed_amount")))
+    out = pairs.groupBy("engine").agg(F.sum("money_tokens").alias("money_tokens"), F.count("balance").alias("n_rows"), F.count_if("__second").alias("comparisons"), F.count_if(F.col("__second") & F.col("__fits")).alias("agreeing"))
     return out.withColumn("agreement", F.when(F.col("comparisons") > 0, F.round(100.0 * F.col("agreeing") / F.col("comparisons"), 4)).otherwise(0.0))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, first_or_null, let, money, record, strip
-from ..functions.money import D, money_tokens, parse_amount
+from ..functions.money import D, amount_value, money_tokens, parse_amount
 from ..functions.similarity import letter_bits, pieces, resembles
 from ..functions.text import canon, canon_of
 
@@ -102,11 +102,22 @@ def _parts(phrase: str) -> Column:
     return F.array(*parts) if parts else F.array().cast("array<struct<text:string,at:int>>")
 
 
+def _any_of(words: set[str]) -> str:
+    """A pattern of these words (a to z only), by first letter."""
+    by: dict[str, set[str]] = {}
+    for w in words:
+        by.setdefault(w[0], set()).add(w[1:])
+    return "|".join(f"{k}(?:{'|'.join(sorted(v))})" for k, v in sorted(by.items()))
+
+
 def classify_line(text: Column, layout: Profile | None = None) -> Column:
-    """kind, label, reason of a line. Only lines that hold a part of a phrase unchanged are compared fuzzily with it."""
+    """kind, label, reason of a line. Only lines that hold a part of a phrase unchanged are compared fuzzily with it, and
+    only lines that hold a part of any, or are shorter than one, are compared at all."""
     traps = dict.fromkeys((k, canon_of(p), label) for k, p, label in [*(layout.traps if layout else []), *TRAPS])
     row = lambda k, p, label: record(kind=F.lit(k), label=F.lit(label), phrase=F.lit(p), parts=_parts(p), bits=letter_bits(p))
     phrases = F.array(*[row(*t) for t in traps])
+    sought = {p for _, p, _ in traps}
+    some_part = _any_of({x for p in sought for x in (pieces(p, FUZZY) if len(p) >= FUZZY_LENGTH else [p])})
 
     def by_text(t: Column, c: Column) -> Column:
         out = lambda kind, label, why: record(kind=F.lit(kind), label=F.lit(label), reason=F.lit(why))
@@ -117,7 +128,8 @@ def classify_line(text: Column, layout: Profile | None = None) -> Column:
         case = F.when(t == "", out(FILLER, "EMPTY", "blank")).when((F.length(c) < 3) & blank, out(SEPARATOR, "RULE", "separator glyphs only")).when(c == "", out(FILLER, "NO_TEXT", "no alphabetic content"))
         exact = let(F.filter(phrases, lambda p: c.contains(p["phrase"])), lambda f: hit(f, "canonical match"))
         fuzzy = let(F.filter(phrases, near), lambda f: hit(f, "fuzzy match"))
-        return F.coalesce(case, exact, header, fuzzy, out(TRANSACTION, "TXN", ""))
+        near_any = c.rlike(some_part) | (F.length(c) < max(map(len, sought)))
+        return let(near_any, lambda some: F.coalesce(case, F.when(some, exact), header, F.when(some, fuzzy), out(TRANSACTION, "TXN", "")))
 
     return let(strip(F.coalesce(text, F.lit(""))), lambda t: let(canon(t), lambda c: by_text(t, c)))
 
@@ -138,6 +150,15 @@ def to_date(day: Column, month: Column, year: Column) -> Column:
     return F.when(F.year(value).between(1990, 2099), value)
 
 
+def _amounts(tokens: Column) -> Column:
+    return F.filter(F.transform(tokens, lambda x: amount_value(x["token"])), lambda v: v.isNotNull())
+
+
+def _marker(tokens: Column) -> Column:
+    marker = F.upper(F.regexp_extract(F.element_at(tokens, -1)["tail"], r"(?i)^\s*(DR|CR)\b", 1))
+    return F.when(F.size(tokens) > 0, F.nullif(marker, F.lit("")))
+
+
 def extract_fields(text: Column) -> Column:
     """dates, amounts, raw_money, instrument, narration and balance_marker (Dr or Cr behind the last figure)."""
     t = F.coalesce(text, F.lit(""))
@@ -146,14 +167,12 @@ def extract_fields(text: Column) -> Column:
 
     def fields(tokens: Column) -> Column:
         head = F.when(F.size(tokens) > 0, tokens[0]["head"]).otherwise(t)
-        amounts = F.filter(F.transform(tokens, lambda x: parse_amount(x["token"])["value"]), lambda v: v.isNotNull())
-        marker = F.upper(F.regexp_extract(F.element_at(tokens, -1)["tail"], r"(?i)^\s*(DR|CR)\b", 1))
 
         def rest(r: Column) -> Column:
             instrument = F.regexp_extract(r, INSTRUMENT, 0)
             left = F.when(instrument != "", F.regexp_replace(r, rf"(?s)^(.*?){INSTRUMENT}", "$1 ")).otherwise(r)
             narration = F.btrim(F.regexp_replace(left, r"(?U)\s{2,}", " "), F.lit(" :;.-"))
-            return record(dates=dates, amounts=amounts, raw_money=F.transform(tokens, lambda x: x["token"]), instrument=instrument, narration=narration, balance_marker=F.when(F.size(tokens) > 0, F.nullif(marker, F.lit(""))))
+            return record(dates=dates, amounts=_amounts(tokens), raw_money=F.transform(tokens, lambda x: x["token"]), instrument=instrument, narration=narration, balance_marker=_marker(tokens))
 
         return let(F.regexp_replace(head, DATE, " "), rest)
 
@@ -173,6 +192,21 @@ def build_rows(lines: DataFrame, overdraft: Column, text: str = "text") -> DataF
     )
 
 
+def row_figures(text: Column, layout: Profile | None = None) -> Column:
+    """money_tokens of a line and, if it makes a row (``build_rows``) and is a transaction, that row's balance and
+    printed_amount; else null. Lines without two figures need no kind."""
+    overdraft = F.lit(bool(layout and layout.overdraft))
+
+    def row(amounts: Column, tokens: Column) -> Column:
+        negative = F.coalesce(_marker(tokens) == "DR", overdraft)
+        balance, amount = F.try_element_at(amounts, F.lit(-1)), F.try_element_at(amounts, F.lit(-2))
+        is_row = F.when(F.size(amounts) >= 2, classify_line(text, layout)["kind"] == TRANSACTION)
+        figures = F.when(is_row, record(balance=money(F.when(negative, -balance).otherwise(balance)), printed_amount=money(amount)))
+        return let(figures, lambda f: record(money_tokens=F.when(text.isNotNull(), F.size(tokens)), balance=f["balance"], printed_amount=f["printed_amount"]))
+
+    return let(money_tokens(F.coalesce(text, F.lit(""))), lambda tokens: let(_amounts(tokens), lambda amounts: row(amounts, tokens)))
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """source_row: the line's place in its document, from 0. Pages start where the lines of the pages before end."""
     pages = lines.groupBy("doc_id", "page_no").agg(F.count("*").alias("__n"))

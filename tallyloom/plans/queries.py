@@ -382,8 +382,9 @@ def against_expected(spark, sf):
 @query
 def engine_bake_off(spark, sf):
     t = L.statement_lines(L.ledger(spark, sf))
-    damaged = t.withColumn("text", F.when(F.col("line_no") % 5 == 0, F.replace("text", F.lit("."), F.lit(" "))).otherwise(F.col("text")))
-    return audit.bake_off(t.withColumn("engine", F.lit("exact")).unionByName(damaged.withColumn("engine", F.lit("damaged"))))
+    damaged = F.when(F.col("line_no") % 5 == 0, F.replace("text", F.lit("."), F.lit(" "))).otherwise(F.col("text"))
+    engines = F.array(F.struct(F.lit("exact").alias("engine"), F.col("text")), F.struct(F.lit("damaged").alias("engine"), damaged.alias("text")))
+    return audit.bake_off(t.select("doc_id", "page_no", "line_no", F.inline(engines)))
 
 
 # --- layout

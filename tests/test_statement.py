@@ -41,3 +41,30 @@ def test_bake_off(spark, lines):
     got = {r.engine: r for r in audit.bake_off(lines.withColumn("engine", F.lit("x")).unionByName(worse.withColumn("engine", F.lit("y")))).collect()}
     assert (got["x"].n_rows, got["x"].comparisons, got["x"].agreeing, got["x"].money_tokens) == (8, 6, 6, 22)
     assert got["y"].agreeing == 4
+
+
+def test_bake_off_reads_each_text_once(spark, lines):
+    """Engines that agree share the work, repeated lines count again, and the plan has the lines once and no join."""
+    from pyspark.sql import functions as F
+
+    odd = spark.createDataFrame([("c", 1, i, t, 95.0) for i, t in enumerate(["01/01/2024 A 1O,000.00 10,000.00 Dr", None, "", "Page Total Credit 1,00.00 2,00.00", "02/01/2024 B 5,000,00 5,000.00", "02/01/2024 C 12 345.00 1 234.00", "x 1.00"])], LINE)
+    both = lines.unionByName(odd)
+    both = both.withColumn("engine", F.lit("x")).unionByName(both.withColumn("engine", F.lit("y"))).unionByName(both.limit(0).withColumn("engine", F.lit("z")))
+    got = {r.engine: tuple(r)[1:] for r in audit.bake_off(both).collect()}
+    assert set(got) == {"x", "y"} and got["x"] == got["y"]
+    alone = audit.bake_off(odd.withColumn("engine", F.lit("x"))).first()
+    assert (alone.money_tokens, alone.n_rows, alone.comparisons, alone.agreeing) == (9, 3, 2, 0)
+    twice = audit.bake_off(lines.unionByName(lines).withColumn("engine", F.lit("x"))).first()
+    assert (twice.money_tokens, twice.n_rows) == (44, 16)
+    plan = audit.bake_off(both)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Union") == 1
+
+
+def test_amount_value_is_that_of_parse_amount(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions.money import amount_value, parse_amount
+
+    tokens = ["1.00", "1,00", "12,34,567.89", ",,.00", ".50", ",50", "1,2,3,4.56", "12.34.56", "1O.00", "1.00\n", " 1.00", "1.00 Dr", "-5.00", "99999999999999999999.00", "9" * 16 + ".99", "", "abc", "1,234", "12,345", "١.٠٠", None]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", amount_value(F.col("t")).alias("a"), parse_amount(F.col("t"))["value"].alias("b")).collect()
+    assert all(r.a == r.b for r in rows), rows
