@@ -150,6 +150,23 @@ def test_texts_of_one_id_link_their_groups(make, monkeypatch, long, block):
     assert sorted(tuple(r) for r in J.join(make(texts, ids)).collect() if r.n_shingles) == want
 
 
+@pytest.mark.parametrize("block_bytes", [32 << 20, 4_000])
+def test_last_pass_joins_with_no_more_links_than_components(spark, monkeypatch, block_bytes):
+    """A list of near copies that all link, each a component: the pairs of it grow with its square, the links don't."""
+    monkeypatch.setattr(J, "BLOCK_BYTES", block_bytes)
+    pool, n = N.stream(4_000, 5), 120
+    sets = [np.sort(np.concatenate([pool[:40], pool[100 + 2 * i : 102 + 2 * i]])) for i in range(n)]
+    sets += [np.sort(pool[1000 + 40 * i : 1040 + 40 * i]) for i in range(20)]  # these link with nothing
+    inside = spark.createDataFrame([(7, i, len(s), i, 0) for i, s in enumerate(sets)], "list long, id long, n long, c long, main long")
+    got = J._outside(inside, spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "id long, n long, s binary")).collect()
+    blocks = 1 if block_bytes > 4_000 else 144
+    assert n - 1 <= len(got) <= min(blocks * (n - 1), n * (n - 1) // 2 - (blocks == 1)) and all(J.alike(sets[u], sets[v]) for u, v in got)
+    root = list(range(len(sets)))
+    for u, v in got:
+        root = [min(root[u], root[v]) if r in (root[u], root[v]) else r for r in root]
+    assert root == [0] * n + list(range(n, n + 20))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 60), st.integers(1, 60), st.floats(0, 1))
 def test_parity_never_excludes_a_link(n, m, share):
