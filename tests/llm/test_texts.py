@@ -150,6 +150,18 @@ def test_texts_of_one_id_link_their_groups(make, monkeypatch, long, block):
     assert sorted(tuple(r) for r in J.join(make(texts, ids)).collect() if r.n_shingles) == want
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, most):
+    from tallyloom.llm import shared
+
+    monkeypatch.setattr(shared, "ONE_TASK", most)
+    pairs = [(i + 1, i) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (-5, 300), (300, 301)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(7)
+    want = {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100, -5: -5, 300: -5, 301: -5}
+    got = [tuple(r) for r in shared.components(edges).collect()]
+    assert len(got) == len(want) and dict(got) == want and shared.components(edges.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block_bytes", [32 << 20, 4_000])
 def test_last_pass_joins_with_no_more_links_than_components(spark, monkeypatch, block_bytes):
     """A list of near copies that all link, each a component: the pairs of it grow with its square, the links don't."""
